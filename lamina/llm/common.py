@@ -50,7 +50,7 @@ def delete(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
-def staged(df: DataFrame, name: str, compression: str = "lz4raw") -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df, written once to the shared folder and read back: its lineage is cut, and what is
     written outlives every executor. Used for tables that are read more than once."""
     spark = df.sparkSession

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pfor
+from pyspark.sql import functions as F
+
+from . import decontam, langid, mixing, pfor, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,69 @@ def op1_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, distance=4, segments=3)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def held_out(spark: SparkSession, sf_dir: str, mod: int, rest: int) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string")) % mod
+    return table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder == rest, F.lit(False)))
+
+
+def op8_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out(spark, sf_dir, 4, 2)
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id and the figures of each leak."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pfor_tokens": op1_pfor_tokens,
+    "op4_simhash_variants": op4_simhash_variants,
+    "op5_systematic_mix": op5_systematic_mix,
+    "op8_naive_bayes_language": op8_naive_bayes_language,
+    "op9_template_decontamination": op9_template_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+#: The water filling as a sorted scan, the draw as row numbers: the same order, the same arithmetic.
+_OP5 = """
+WITH sized AS (
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS place
+  FROM documents
+), classed AS (
+  SELECT *, length(bin(size)) * 32 + CASE WHEN length(bin(size)) >= 5 THEN size >> (length(bin(size)) - 5) ELSE size << (5 - length(bin(size))) END AS class
+  FROM sized
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sized GROUP BY source
+), rated AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM sources
+), goal AS (
+  SELECT source, source_size, least(cap, weight * (SELECT arg_min(rate, cap / weight) FROM rated WHERE rate * weight <= cap)) AS target FROM rated
+), placed AS (
+  SELECT c.doc_id, c.size, g.source_size, g.target,
+    CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate,
+    row_number() OVER (PARTITION BY c.source ORDER BY class, place, doc_id) AS i,
+    ('0x' || substr(md5('7:' || coalesce('s' || c.source, 'n')), 1, 5))::BIGINT::DOUBLE / 1048576.0::DOUBLE AS start
+  FROM classed c JOIN goal g ON c.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, (least(floor(start + rate * i) - floor(start + rate * (i - 1)), 2) * size)::BIGINT AS taken FROM placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_systematic_mix": _OP5,
+}
