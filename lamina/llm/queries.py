@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pfor, simhash
+from . import chat, decontam, langid, mixing, pfor, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.windows(turns))
+
+
 def held_out(spark: SparkSession, sf_dir: str, mod: int, rest: int) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("string")) % mod
     return table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder == rest, F.lit(False)))
@@ -53,6 +60,7 @@ QUERIES = {
     "op1_pfor_tokens": op1_pfor_tokens,
     "op4_simhash_variants": op4_simhash_variants,
     "op5_systematic_mix": op5_systematic_mix,
+    "op7_budgeted_chat": op7_budgeted_chat,
     "op8_naive_bayes_language": op8_naive_bayes_language,
     "op9_template_decontamination": op9_template_decontamination,
 }
