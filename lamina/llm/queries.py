@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, pfor, simhash
+from . import ann, chat, decontam, langid, mixing, pfor, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.vectors_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    index = ann.fit(vectors, k=5)
+    return ann.search(vectors, vectors.where(F.col("id") % 50 == 0), 5, index)
+
+
 QUERIES = {
     "op1_pfor_tokens": op1_pfor_tokens,
     "op4_simhash_variants": op4_simhash_variants,
@@ -63,6 +69,7 @@ QUERIES = {
     "op7_budgeted_chat": op7_budgeted_chat,
     "op8_naive_bayes_language": op8_naive_bayes_language,
     "op9_template_decontamination": op9_template_decontamination,
+    "op10_posting_list_search": op10_posting_list_search,
 }
 
 #: The water filling as a sorted scan, the draw as row numbers: the same order, the same arithmetic.
