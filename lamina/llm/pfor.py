@@ -6,7 +6,7 @@ A shard is one self-contained binary value:
     document ids i64[documents], document lengths u64[documents], null flags u8[documents]
     block starts u64[blocks + 1], byte offsets from the start of the block area
     blocks, each: minimum u32, width u8, pad u8, exceptions u16,
-                  block-size slots of `width` bits (value - minimum, low bits; big-endian bits),
+                  block-size slots of `width` bits (value - minimum, low bits), from the lowest bit up,
                   exception positions u16[exceptions], exception high parts u32[exceptions]
 
 The width of a block is the number of bits that the `percentile`-th delta needs; a delta that needs
@@ -41,11 +41,51 @@ PERCENTILE = 0.9
 #: A shard is closed once it has so many ids (documents are never divided).
 SHARD_TOKENS = 1 << 18
 #: Words whose ids a worker keeps, at most.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, part_start long, payload binary"
 
 
+def pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values (u64, less than 2**width) as rows of bytes, each value in the next `width` bits."""
+    cols = np.ascontiguousarray(values.T)
+    n, rows = cols.shape
+    out = np.zeros((-(-n * width // 64), rows), "<u8")
+    for j in range(n):
+        word, at = divmod(j * width, 64)
+        out[word] |= cols[j] << np.uint64(at)
+        if at + width > 64:
+            out[word + 1] |= cols[j] >> np.uint64(64 - at)
+    return np.ascontiguousarray(out.T).view("u1")[:, : -(-n * width // 8)]
+
+
+def unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The n values of each row of bytes."""
+    rows = len(raw)
+    padded = np.zeros((rows, 8 * -(-n * width // 64)), "u1")
+    padded[:, : raw.shape[1]] = raw
+    words = np.ascontiguousarray(padded.view("<u8").T)
+    out = np.empty((n, rows), "<u4")
+    mask = np.uint64((1 << width) - 1)
+    for j in range(n):
+        word, at = divmod(j * width, 64)
+        x = words[word] >> np.uint64(at)
+        if at + width > 64:
+            x |= words[word + 1] << np.uint64(64 - at)
+        out[j] = x & mask
+    return out.T
+
+
+def _exceptions(begin: np.ndarray, n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte places of each exception's position and high part: the lists of a block begin at begin and
+    have n entries; row is the block of each exception, ascending."""
+    n = n.astype(np.int64)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    where = begin[row] + 2 * k
+    high = begin[row] + 2 * n[row] + 4 * k
+    return where[:, None] + np.arange(2), high[:, None] + np.arange(4)
+
+
 def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """ids (all documents' ids in a row) as one shard."""
     ids = np.asarray(ids, dtype="<u4")
@@ -61,10 +101,9 @@ def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
     grid = grid.reshape(nb, block)
     low = grid.min(axis=1)
     delta = grid - low[:, None]
-    bits = np.frexp(delta.astype(np.float64))[1].astype(np.uint8)
     at = min(block - 1, max(0, int(np.ceil(percentile * block)) - 1))
-    width = np.partition(bits, at, axis=1)[:, at]
-    over = bits > width[:, None]
+    width = np.frexp(np.partition(delta, at, axis=1)[:, at].astype(np.float64))[1]
+    over = (delta.astype("<u8") >> width[:, None].astype("<u8")) > 0
     n_over = over.sum(axis=1)
     packed = [-(-block * w // 8) for w in range(33)]
     sizes = 8 + np.array(packed)[width] + 6 * n_over
@@ -75,17 +114,15 @@ def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
     row_head["low"], row_head["width"], row_head["n"] = low, width, n_over
     at = starts[:-1].astype(np.int64)
     out[at[:, None] + np.arange(8)] = row_head.view("u1").reshape(nb, 8)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         if w:
             rows = np.nonzero(width == w)[0]
-            big = (delta[rows] << np.uint32(32 - int(w))).astype(">u4")
-            raw = np.unpackbits(big.view("u1").reshape(len(rows), block, 4), axis=2)[:, :, : int(w)]
-            out[at[rows, None] + 8 + np.arange(packed[w])] = np.packbits(raw.reshape(len(rows), -1), axis=1)
-    for r in np.nonzero(n_over)[0]:
-        where = np.nonzero(over[r])[0]
-        tail = where.astype("<u2").tobytes() + (delta[r, where].astype("<u8") >> np.uint64(width[r])).astype("<u4").tobytes()
-        p = int(at[r]) + 8 + packed[width[r]]
-        out[p : p + len(tail)] = np.frombuffer(tail, "u1")
+            kept = delta[rows].astype("<u8") & np.uint64((1 << w) - 1)
+            out[at[rows, None] + 8 + np.arange(packed[w])] = pack(kept, w)
+    row, col = np.nonzero(over)
+    where, high = _exceptions(at + 8 + np.array(packed)[width], n_over, row)
+    out[where] = col.astype("<u2").view("u1").reshape(-1, 2)
+    out[high] = (delta[row, col].astype("<u8") >> width[row].astype("<u8")).astype("<u4").view("u1").reshape(-1, 4)
     return head + starts.tobytes() + out.tobytes()
 
 
@@ -119,16 +156,11 @@ class Shard:
             if w:
                 rows = np.nonzero(width == w)[0]
                 size = -(-self.block * int(w) // 8)
-                raw = np.unpackbits(self.area[at[rows, None] + 8 + np.arange(size)], axis=1)[:, : self.block * int(w)]
-                wide = np.zeros((len(rows), self.block, 32), "u1")
-                wide[:, :, 32 - int(w) :] = raw.reshape(len(rows), self.block, int(w))
-                grid[rows] = np.packbits(wide.reshape(len(rows), -1), axis=1).view(">u4")
-        for r in np.nonzero(n_over)[0]:
-            k, w = int(n_over[r]), int(width[r])
-            p = int(at[r]) + 8 + -(-self.block * w // 8)
-            where = self.area[p : p + 2 * k].copy().view("<u2")
-            high = self.area[p + 2 * k : p + 6 * k].copy().view("<u4").astype("<u8")
-            grid[r, where] |= (high << np.uint64(w)).astype("<u4")
+                grid[rows] = unpack(self.area[at[rows, None] + 8 + np.arange(size)], int(w), self.block)
+        row = np.repeat(np.arange(len(at)), n_over)
+        where, high = _exceptions(at + 8 + -(-self.block * width.astype(np.int64) // 8), n_over, row)
+        col = self.area[where].view("<u2")[:, 0]
+        grid[row, col] |= (self.area[high].view("<u4")[:, 0].astype("<u8") << width[row].astype("<u8")).astype("<u4")
         return (grid + low[:, None]).reshape(-1)
 
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
@@ -144,7 +176,8 @@ class Shard:
 # before a final full stop or comma is right where no two white spaces adjoin and a letter or digit comes
 # before the mark. (The third alternative is the cutting mark itself.)
 _COARSE_UNSAFE = re.compile(r"\s (?:\s|\Z)|\x01")
-_FINE_UNSAFE = re.compile(r"\s\s|[\W_][.,](?=[ \n])|\x01")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_ODD_MARK = re.compile(r"[.,](?<=[\W_][.,])[ \n]")
 _PLAIN = re.compile(r" ?\S+\Z")
 
 
@@ -201,7 +234,7 @@ class WordEncoder:
 
     @staticmethod
     def _cut(text: str) -> list[str] | None:
-        if not _FINE_UNSAFE.search(text):
+        if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x01" in text or _OTHER_SPACE.search(text) or _ODD_MARK.search(text)):
             t = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
             return t.replace(".\x01", "\x01.\x01").replace(",\x01", "\x01,\x01").split("\x01")
         if not _COARSE_UNSAFE.search(text):
@@ -213,7 +246,7 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        self._learn(list({w for ws in cut if ws for w in ws if w not in known}))
+        self._learn(list(set().union(*(ws for ws in cut if ws)).difference(known)))
         whole = iter(self._whole([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
         return [next(whole) if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
 
