@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, pfor, simhash
+from . import ann, chat, decontam, langid, mixing, pfor, pii, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, distance=4, segments=3)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -64,6 +69,7 @@ def op10_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pfor_tokens": op1_pfor_tokens,
+    "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_simhash_variants": op4_simhash_variants,
     "op5_systematic_mix": op5_systematic_mix,
     "op7_budgeted_chat": op7_budgeted_chat,
