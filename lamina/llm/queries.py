@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, pfor, pii, simhash
+from . import ann, chat, decontam, eftrie, langid, linedup, mixing, pfor, pii, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op1_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_deleted, deleted (places of deleted lines, comma-joined), kept_sha256."""
+    found = linedup.without_common_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.array_join("deleted", ",").alias("deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
@@ -50,6 +56,11 @@ def held_out(spark: SparkSession, sf_dir: str, mod: int, rest: int) -> DataFrame
     return table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder == rest, F.lit(False)))
 
 
+def op6_elias_fano_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out(spark, sf_dir, 10, 0)
+    return eftrie.scores(docs, eftrie.train(docs.where("not held_out")))
+
+
 def op8_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = held_out(spark, sf_dir, 4, 2)
     model = langid.fit(docs.where("not held_out"))
@@ -69,9 +80,11 @@ def op10_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pfor_tokens": op1_pfor_tokens,
+    "op2_patience_line_dedup": op2_patience_line_dedup,
     "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_simhash_variants": op4_simhash_variants,
     "op5_systematic_mix": op5_systematic_mix,
+    "op6_elias_fano_scores": op6_elias_fano_scores,
     "op7_budgeted_chat": op7_budgeted_chat,
     "op8_naive_bayes_language": op8_naive_bayes_language,
     "op9_template_decontamination": op9_template_decontamination,
