@@ -1,4 +1,585 @@
-"""Registered queries over the driver's tables, and the same in SQL."""
+"""Registered queries over the driver's tables, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Figures are rounded to 6 digits on both sides. A query without SQL is one that SQL can't express (resampling,
+permutation tests, fitted models); tests hold it against brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.config import SamplerConfig
+from lamina.functions import bits, keys
+from lamina.operators import anomaly, arms, dedup, frames, leakage, lookups, metrics, quality, sampling, splitting, statistics
+from lamina.scratch import new_folder
+
+from . import views
+from .curation import curate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# ---------------------------------------------------------------- groups and splits
+
+_SAMPLER = SamplerConfig(min_difference=30.0 / 255, min_interval=2, max_interval=9)
+_SEEDED = "sha256('{seed}:' || {key})"
+
+
+def _naive(view: str, seed: int = 0) -> str:
+    """CTE m: the naive split of a view."""
+    return f"""o AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_SEEDED.format(seed=seed, key="path")}, path) AS rn, count(*) OVER (PARTITION BY label)::DOUBLE AS n FROM {view}
+), m AS (
+  SELECT * EXCLUDE (rn, n), CASE WHEN label = 'normal' THEN CASE WHEN rn <= round_even(n * 0.6::DOUBLE, 0) THEN 'train' WHEN rn <= round_even(n * 0.6::DOUBLE, 0) + round_even(n * 0.2::DOUBLE, 0) THEN 'val' ELSE 'test' END
+    ELSE CASE WHEN rn <= round_even(n * 0.3::DOUBLE, 0) THEN 'val' ELSE 'test' END END AS split FROM o
+)"""
+
+
+def _by_group(view: str, seed: int = 0) -> str:
+    """CTEs up to m: the deficit-greedy split of a view, groups in seeded order, by recursion."""
+    return f"""g AS (
+  SELECT group_id, label, n, row_number() OVER (PARTITION BY label ORDER BY {_SEEDED.format(seed=seed, key="group_id")}, group_id) AS k, sum(n) OVER (PARTITION BY label)::DOUBLE AS total
+  FROM (SELECT group_id, min(label) AS label, count(*)::DOUBLE AS n FROM {view} GROUP BY group_id)
+), t AS (SELECT * FROM (VALUES ('normal', 0.6::DOUBLE, 0.2::DOUBLE, 0.2::DOUBLE), ('defect', -1e9::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE - 0.3::DOUBLE)) x(label, a, b, c)
+), f AS (
+  SELECT label, 0::BIGINT AS k, NULL::VARCHAR AS group_id, NULL::VARCHAR AS split, 0.0::DOUBLE AS ha, 0.0::DOUBLE AS hb, 0.0::DOUBLE AS hc FROM t
+  UNION ALL
+  SELECT s.label, s.k, s.group_id, s.split, s.ha + CASE WHEN s.split = 'train' THEN s.n ELSE 0 END, s.hb + CASE WHEN s.split = 'val' THEN s.n ELSE 0 END, s.hc + CASE WHEN s.split = 'test' THEN s.n ELSE 0 END
+  FROM (
+    SELECT g.label, g.k, g.group_id, g.n, f.ha, f.hb, f.hc,
+      CASE WHEN t.a * g.total - f.ha >= t.b * g.total - f.hb AND t.a * g.total - f.ha >= t.c * g.total - f.hc THEN 'train' WHEN t.b * g.total - f.hb >= t.c * g.total - f.hc THEN 'val' ELSE 'test' END AS split
+    FROM f JOIN t ON t.label = f.label JOIN g ON g.label = f.label AND g.k = f.k + 1
+  ) s
+), m AS (SELECT {view}.*, f.split FROM {view} JOIN f ON f.group_id = {view}.group_id)"""
+
+
+_AUDIT = """per AS (
+  SELECT group_id, bool_or(split = 'train') AS a, bool_or(split = 'val') AS b, bool_or(split = 'test') AS c, count(*) FILTER (WHERE split = 'test') AS nt, count(*) FILTER (WHERE split = 'test' AND label = 'normal') AS nn, count(*) AS n
+  FROM m GROUP BY group_id
+), audit AS (
+  SELECT count(*) FILTER (WHERE a AND c) AS shared_train_test, count(*) FILTER (WHERE a AND b) AS shared_train_val, count(*) FILTER (WHERE b AND c) AS shared_val_test,
+    coalesce(sum(nt) FILTER (WHERE a AND c), 0)::BIGINT AS contaminated, coalesce(sum(nn), 0)::BIGINT AS normal_test, coalesce(sum(n), 0)::BIGINT AS total FROM per
+), audited AS (SELECT *, CASE WHEN normal_test = 0 THEN 0.0::DOUBLE ELSE round(contaminated::DOUBLE / normal_test, 6) END AS fraction, shared_train_test = 0 AND shared_train_val = 0 AS is_clean FROM audit)"""
+
+
+@query(f"WITH {views.EVENTS} SELECT group_id, count(*) AS n_frames, min(label) AS label FROM e GROUP BY group_id")
+def frame_group_counts(spark, sf_dir):
+    return frames.consistent_groups(frames.checked(views.events(spark, sf_dir)))
+
+
+@query(f"WITH {views.EVENTS} SELECT group_id, count(DISTINCT event_type) AS n_labels FROM e GROUP BY group_id HAVING count(DISTINCT event_type) > 1")
+def label_consistency(spark, sf_dir):
+    """Groups with more than one label, of a label that is none of the group's."""
+    return frames.label_conflicts(views.events(spark, sf_dir).withColumn("label", F.col("event_type")))
+
+
+@query(f"WITH {views.EVENTS}, x AS (SELECT group_id || '/' || (frame_index // 2) AS path FROM e) SELECT path, count(*) AS n FROM x GROUP BY path HAVING count(*) > 1")
+def duplicate_paths(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    return frames.duplicate_paths(e.withColumn("path", F.concat_ws("/", "group_id", F.floor(F.col("frame_index") / 2).cast("string"))))
+
+
+@query(f"WITH {views.lines_sql()}, {_naive('l')} SELECT split, label, count(*) AS n, count(DISTINCT group_id) AS n_groups, sum(frame_index)::BIGINT AS s FROM m GROUP BY split, label")
+def split_naive(spark, sf_dir):
+    m = splitting.split_naive(views.lines(spark, sf_dir))
+    return m.groupBy("split", "label").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("n_groups"), F.sum("frame_index").alias("s"))
+
+
+@query(f"WITH RECURSIVE {views.lines_sql('l_suppkey')}, {_by_group('l')} SELECT DISTINCT group_id, label, split FROM m")
+def split_by_group(spark, sf_dir):
+    return splitting.split_by_group(views.lines(spark, sf_dir, "l_suppkey")).select("group_id", "label", "split").distinct()
+
+
+@query(f"WITH RECURSIVE {views.lines_sql()}, {_by_group('l')} SELECT s.split, count(m.path) AS n_frames, count(DISTINCT m.group_id) AS n_groups FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN m ON m.split = s.split GROUP BY s.split")
+def split_counts(spark, sf_dir):
+    return frames.split_counts(splitting.split_by_group(views.lines(spark, sf_dir)))
+
+
+@query(f"WITH {views.lines_sql()}, {_naive('l')}, {_AUDIT} SELECT * FROM audited")
+def leakage_audit_naive(spark, sf_dir):
+    return leakage.payload(splitting.split_naive(views.lines(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {views.lines_sql()}, {_by_group('l')}, {_AUDIT} SELECT * FROM audited")
+def leakage_audit_group(spark, sf_dir):
+    return leakage.payload(splitting.split_by_group(views.lines(spark, sf_dir)))
+
+
+@query(
+    f"SELECT 'naive_by_frame' AS strategy, * FROM (WITH {views.lines_sql()}, {_naive('l')}, {_AUDIT} SELECT * FROM audited) UNION ALL SELECT 'by_group' AS strategy, * FROM (WITH RECURSIVE {views.lines_sql()}, {_by_group('l')}, {_AUDIT} SELECT * FROM audited)"
+)
+def leakage_by_strategy(spark, sf_dir):
+    """The flagship: what a split row by row leaks, and a split by group doesn't."""
+    lines = views.lines(spark, sf_dir)
+    every = [f(lines).withColumn("strategy", F.lit(name)) for name, f in splitting.STRATEGIES.items()]
+    return leakage.audit(every[0].unionByName(every[1]), by=("strategy",)).withColumn("fraction", F.round("fraction", 6))
+
+
+@query(f"WITH {views.lines_sql()}, {_naive('l')} SELECT path, group_id FROM m WHERE split = 'test' AND group_id IN (SELECT group_id FROM m WHERE split = 'train')")
+def contaminated_semi(spark, sf_dir):
+    return leakage.contaminated_frames(splitting.split_naive(views.lines(spark, sf_dir))).select("path", "group_id")
+
+
+@query(f"WITH {views.lines_sql()}, {_naive('l')} SELECT group_id FROM m WHERE split = 'train' INTERSECT SELECT group_id FROM m WHERE split = 'test'")
+def shared_groups_intersect(spark, sf_dir):
+    return leakage.shared_groups(splitting.split_naive(views.lines(spark, sf_dir)))
+
+
+@query(f"WITH {views.EVENTS}, {_naive('e')} SELECT path AS image_path, split, CASE WHEN label = 'defect' THEN 1 ELSE 0 END AS label_index, '' AS mask_path FROM m WHERE split = 'test'")
+def training_samples(spark, sf_dir):
+    return frames.samples(splitting.split_naive(views.events(spark, sf_dir)), "test")
+
+
+# ---------------------------------------------------------------- near-duplicates
+
+
+def _greedy(view: str, by: str, d: str) -> str:
+    """CTE k: kept list of each pool, folded in order."""
+    return f"""pool AS (
+  SELECT {by}, list({{'h': phash, 'p': path}} ORDER BY source_video, frame_index, path) AS xs FROM {view} GROUP BY ALL
+), k AS (
+  SELECT * EXCLUDE (xs), len(xs) AS total, list_reduce(list_prepend([]::STRUCT(h UBIGINT, p VARCHAR)[], list_transform(xs, lambda x: [x])),
+    lambda a, x: CASE WHEN len(list_filter(a, lambda y: bit_count(xor(y.h, x[1].h)) <= {d})) > 0 THEN a ELSE list_append(a, x[1]) END) AS kept FROM pool
+)"""
+
+
+_KEPT = "SELECT path, list_contains((SELECT flatten(list(list_transform(kept, lambda y: y.p))) FROM k), path) AS kept FROM v"
+
+
+@query(f"WITH {views.vectors_sql()}, {_greedy('v', 'group_id', '16')} {_KEPT}")
+def dedup_within(spark, sf_dir):
+    return dedup.deduplicate(views.vectors(spark, sf_dir).drop("vector"), max_distance=16).select("path", "kept")
+
+
+@query(f"WITH {views.vectors_sql()}, {_greedy('v', '0 AS pool', '16')} {_KEPT}")
+def dedup_global(spark, sf_dir):
+    return dedup.deduplicate(views.vectors(spark, sf_dir).drop("vector"), max_distance=16, within_group=False).select("path", "kept")
+
+
+@query(f"WITH {views.vectors_sql()}, {_greedy('v', 'group_id', '16')} {_KEPT}")
+def dedup_sorted_stream(spark, sf_dir):
+    """The same result by the form for groups of any size."""
+    return dedup.deduplicate_sorted(views.vectors(spark, sf_dir).drop("vector"), max_distance=16).select("path", "kept")
+
+
+@query(f"WITH {views.vectors_sql()}, {_greedy('v', 'group_id', '16')} SELECT sum(total)::BIGINT AS total, sum(len(kept))::BIGINT AS kept, sum(total - len(kept))::BIGINT AS removed, round(sum(len(kept))::DOUBLE / sum(total), 6) AS retained_fraction FROM k")
+def dedup_summary(spark, sf_dir):
+    return dedup.summary(dedup.deduplicate(views.vectors(spark, sf_dir).drop("vector"), max_distance=16))
+
+
+@query(
+    f"WITH {views.vectors_sql()}, w AS (SELECT v.*, d AS max_distance FROM v, (VALUES (0), (4), (8), (12), (16), (20)) z(d)), {_greedy('w', 'max_distance, group_id', 'max_distance')} "
+    "SELECT max_distance, sum(total)::BIGINT AS total, sum(len(kept))::BIGINT AS kept, sum(total - len(kept))::BIGINT AS removed, round(sum(len(kept))::DOUBLE / sum(total), 6) AS retained_fraction FROM k GROUP BY max_distance"
+)
+def redundancy_profile(spark, sf_dir):
+    return dedup.redundancy_profile(views.vectors(spark, sf_dir).drop("vector"), (0, 4, 8, 12, 16, 20))
+
+
+@query(f"WITH {views.vectors_sql(32)} SELECT a.path AS path_a, b.path AS path_b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM v a JOIN v b ON a.path < b.path AND bit_count(xor(a.phash, b.phash)) <= 6")
+def hamming_pairs(spark, sf_dir):
+    return dedup.hamming_pairs(views.vectors(spark, sf_dir, 32), 6, bits=32)
+
+
+@query(
+    f"WITH RECURSIVE {views.vectors_sql()}, {_by_group('v')}, {_greedy('m', 'split, group_id', '16')} "
+    "SELECT split, sum(total)::BIGINT AS total, sum(len(kept))::BIGINT AS kept, sum(total - len(kept))::BIGINT AS removed, round(sum(len(kept))::DOUBLE / sum(total), 6) AS retained_fraction, 16 AS max_distance FROM k GROUP BY split"
+)
+def curation_pipeline(spark, sf_dir):
+    return curate(views.vectors(spark, sf_dir).drop("vector"), max_distance=16).dedup(16, ("train", "val", "test"))
+
+
+@query(
+    f"WITH RECURSIVE {views.vectors_sql()}, {_by_group('v')}, {_greedy('m', 'split, group_id', '16')}, kept AS (SELECT split, group_id, unnest(list_transform(kept, lambda y: y.p)) AS path FROM k), m2 AS (SELECT kept.*, v.label FROM kept JOIN v USING (path)), {_AUDIT.replace('FROM m GROUP', 'FROM m2 GROUP')} SELECT * FROM audited"
+)
+def curation_audit(spark, sf_dir):
+    return curate(views.vectors(spark, sf_dir).drop("vector"), max_distance=16).leakage().withColumn("fraction", F.round("fraction", 6))
+
+
+# ---------------------------------------------------------------- sampling
+
+_SAMPLED = f"""{views.EVENTS}, f AS (
+  SELECT group_id, frame_index, signal AS ref, 0 AS since, true AS kept FROM e WHERE frame_index = 0
+  UNION ALL
+  SELECT s.group_id, s.frame_index, CASE WHEN s.keep THEN s.signal ELSE s.ref END, CASE WHEN s.keep THEN 0 ELSE s.since END, s.keep FROM (
+    SELECT e.group_id, e.frame_index, e.signal, f.ref, f.since + 1 AS since, CASE WHEN f.since + 1 < 2 THEN false WHEN f.since + 1 >= 9 THEN true ELSE abs(e.signal - f.ref) / 255.0::DOUBLE >= 30.0::DOUBLE / 255.0::DOUBLE END AS keep
+    FROM f JOIN e ON e.group_id = f.group_id AND e.frame_index = f.frame_index + 1
+  ) s
+)"""
+
+
+def _sampled(spark, sf_dir):
+    e = views.events(spark, sf_dir).select("group_id", "frame_index", "signal")
+    return sampling.sample(e, _SAMPLER, signal="signal", difference=lambda a, b: sampling.scalar_difference(a, b, 255.0))
+
+
+@query(f"WITH RECURSIVE {_SAMPLED} SELECT group_id, frame_index, kept FROM f")
+def sampler(spark, sf_dir):
+    return _sampled(spark, sf_dir).select("group_id", "frame_index", "kept")
+
+
+@query(f"WITH RECURSIVE {_SAMPLED} SELECT count(*) AS seen, count(*) FILTER (WHERE kept) AS kept, round(count(*) FILTER (WHERE kept)::DOUBLE / count(*), 6) AS retained_fraction FROM f")
+def sampler_stats(spark, sf_dir):
+    return sampling.stats(_sampled(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_SAMPLED} SELECT group_id, frame_index, kept FROM f")
+def sampler_stream(spark, sf_dir):
+    """The sampler on a stream, in several micro-batches; the result is the batch sampler's."""
+    from lamina.streaming.sampler import run_to_end, sample_stream
+
+    root = new_folder(spark, "stream")
+    e = views.events(spark, sf_dir).select("group_id", "frame_index", "signal")
+    for k in range(3):  # three arrivals, in order of the index
+        e.where(F.least(F.floor(F.col("frame_index") / 30), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = sample_stream(stream, _SAMPLER, signal="signal", scale=255.0)
+    return run_to_end(out, f"{root}/out", f"{root}/checkpoint")
+
+
+@query(f"WITH {views.EVENTS} SELECT group_id, count(*) AS n FROM e WHERE frame_index < 40 GROUP BY group_id")
+def max_frames_cap(spark, sf_dir):
+    return frames.capped(views.events(spark, sf_dir), 40).groupBy("group_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {views.EVENTS} SELECT path FROM e WHERE frame_index % 15 = 0")
+def qc_sample_1_in_15(spark, sf_dir):
+    return frames.systematic(views.events(spark, sf_dir)).select("path")
+
+
+@query(f"WITH {views.EVENTS}, x AS (SELECT * FROM e WHERE frame_index < (group_id::INT % 9) + 1), s AS (SELECT *, max(frame_index) OVER (PARTITION BY group_id) >= 5 AS longer FROM x WHERE frame_index < 31) SELECT path FROM s WHERE NOT longer OR frame_index >= 5")
+def after_warm_up(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    return frames.after_warm_up(e.where(F.col("frame_index") < F.col("group_id").cast("int") % 9 + 1)).select("path")
+
+
+# ---------------------------------------------------------------- metrics
+
+_RANKS = "(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0::DOUBLE)::DOUBLE"
+_F1 = """x AS (SELECT score, count(*) AS n, count(*) FILTER (WHERE y) AS p FROM d WHERE split = 'val' GROUP BY score
+), z AS (SELECT score, sum(n) OVER w AS alarms, sum(p) OVER w AS tp, sum(p) OVER () AS pos FROM x WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)
+), q AS (SELECT score, tp::DOUBLE / alarms AS precision, CASE WHEN pos = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / pos END AS recall FROM z
+), b AS (SELECT score, CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * precision * recall / (precision + recall) END AS f1 FROM q
+), best AS (SELECT score AS threshold, f1 AS f1_on_val, (SELECT count(*) FROM b) AS candidates FROM b ORDER BY round(f1, 12) DESC, score LIMIT 1)"""
+
+
+@query(f"WITH {views.SCORED} SELECT path, {_RANKS.format(by='split', v='score')} AS mid_rank FROM d")
+def mid_ranks(spark, sf_dir):
+    return metrics.mid_ranks(views.scored(spark, sf_dir), "score", ("split",)).select("path", "mid_rank")
+
+
+@query(f"WITH {views.SCORED}, r AS (SELECT *, {_RANKS.format(by='split', v='score')} AS rk FROM d) SELECT split, count(*) AS n, count(*) FILTER (WHERE y) AS n_pos, round((sum(rk) FILTER (WHERE y) - count(*) FILTER (WHERE y)::DOUBLE * (count(*) FILTER (WHERE y) + 1) / 2) / (count(*) FILTER (WHERE y)::DOUBLE * count(*) FILTER (WHERE NOT y)), 6) AS auroc FROM r GROUP BY split")
+def auroc(spark, sf_dir):
+    return rounded(metrics.auroc(metrics.checked_scores(views.scored(spark, sf_dir)), by=("split",)), "auroc")
+
+
+@query(f"WITH {views.SCORED}, r AS (SELECT *, {_RANKS.format(by='1', v='score')} AS rk FROM d) SELECT count(*) AS n, count(*) FILTER (WHERE y) AS n_pos, round((sum(rk) FILTER (WHERE y) - count(*) FILTER (WHERE y)::DOUBLE * (count(*) FILTER (WHERE y) + 1) / 2) / (count(*) FILTER (WHERE y)::DOUBLE * count(*) FILTER (WHERE NOT y)), 6) AS auroc FROM r")
+def auroc_bucketed(spark, sf_dir):
+    """One AUROC of all rows, its ranks in buckets."""
+    return rounded(metrics.auroc(views.scored(spark, sf_dir), buckets=16), "auroc")
+
+
+@query(
+    f"WITH {views.SCORED}, c AS (SELECT split, count(*) FILTER (WHERE score >= 1500 AND y) AS tp, count(*) FILTER (WHERE score >= 1500 AND NOT y) AS fp, count(*) FILTER (WHERE score < 1500 AND NOT y) AS tn, count(*) FILTER (WHERE score < 1500 AND y) AS fn FROM d GROUP BY split), "
+    "r AS (SELECT *, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN fp + tn = 0 THEN 0.0::DOUBLE ELSE fp::DOUBLE / (fp + tn) END AS false_alarm_rate FROM c) "
+    "SELECT split, tp, fp, tn, fn, round(recall, 6) AS recall, round(precision, 6) AS precision, round(false_alarm_rate, 6) AS false_alarm_rate, round(CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM r"
+)
+def confusion(spark, sf_dir):
+    return rounded(metrics.rates(metrics.confusion(views.scored(spark, sf_dir), 1500.0, by=("split",))), "recall", "precision", "false_alarm_rate", "f1")
+
+
+@query(f"WITH {views.SCORED}, {_F1} SELECT threshold, round(f1_on_val, 6) AS f1_on_val, candidates FROM best")
+def calibrate_f1(spark, sf_dir):
+    return rounded(metrics.calibrate_f1(views.scored(spark, sf_dir).where("split = 'val'"), split="val"), "f1_on_val")
+
+
+@query(
+    f"WITH {views.SCORED}, {_F1}, c AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND y) AS tp, count(*) FILTER (WHERE score >= threshold AND NOT y) AS fp, count(*) FILTER (WHERE score < threshold AND NOT y) AS tn, count(*) FILTER (WHERE score < threshold AND y) AS fn FROM d, best WHERE split = 'test' GROUP BY threshold), "
+    "r AS (SELECT *, CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN fp + tn = 0 THEN 0.0::DOUBLE ELSE fp::DOUBLE / (fp + tn) END AS false_alarm_rate FROM c) "
+    "SELECT threshold, tp, fp, tn, fn, round(recall, 6) AS recall, round(precision, 6) AS precision, round(false_alarm_rate, 6) AS false_alarm_rate, round(CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM r"
+)
+def evaluate_test(spark, sf_dir):
+    from .engine import Engine
+
+    return rounded(Engine(spark).evaluate(views.scored(spark, sf_dir)), "recall", "precision", "false_alarm_rate", "f1")
+
+
+# ---------------------------------------------------------------- controlled leakage
+
+_SEEDS, _DOSES = (0, 1), (0.0, 0.1, 0.2)
+_ARMS = f"""{views.EVENTS}, s AS (SELECT e.*, seed FROM e, (VALUES (0), (1)) z(seed)
+), gr AS (SELECT seed, group_id, n, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || ':' || group_id), group_id) AS k, count(*) OVER (PARTITION BY seed)::DOUBLE AS ng FROM (SELECT seed, group_id, count(*) AS n FROM s WHERE label = 'normal' GROUP BY ALL)
+), gs AS (SELECT *, CASE WHEN k <= round_even(ng * 0.6::DOUBLE, 0) THEN 'train' WHEN k <= round_even(ng * 0.6::DOUBLE, 0) + round_even(ng * 0.2::DOUBLE, 0) THEN 'val' ELSE 'test' END AS gsplit FROM gr
+), gt AS (SELECT *, sum(CASE WHEN gsplit = 'train' THEN n ELSE 0 END) OVER (PARTITION BY seed)::DOUBLE AS n_train FROM gs
+), nm AS (SELECT s.*, gsplit, n_train, k FROM s JOIN gt USING (seed, group_id) WHERE label = 'normal'
+), tr AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k, frame_index, path) AS rn FROM nm WHERE gsplit = 'train'
+), sp AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || ':' || path), path) AS rn FROM nm WHERE gsplit = 'test' AND frame_index > 0
+), dz AS (SELECT * FROM (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) z(dose)
+), ev AS (SELECT seed, path, group_id, label, frame_index, gsplit AS split FROM nm WHERE gsplit <> 'train' AND frame_index = 0 UNION ALL SELECT seed, path, group_id, label, frame_index, 'test' FROM s WHERE label = 'defect'
+), arms AS (
+  SELECT seed, dose, arm, split, path, group_id, label, frame_index FROM ev, dz, (VALUES ('clean'), ('leaked')) a(arm)
+  UNION ALL SELECT seed, dose, 'clean', 'train', path, group_id, label, frame_index FROM tr, dz
+  UNION ALL SELECT seed, dose, 'leaked', 'train', path, group_id, label, frame_index FROM tr, dz WHERE rn > round_even(n_train * dose, 0)
+  UNION ALL SELECT seed, dose, 'leaked', 'train', path, group_id, label, frame_index FROM sp, dz WHERE rn <= round_even(n_train * dose, 0)
+)"""
+
+
+def _arms(spark, sf_dir):
+    e = views.events(spark, sf_dir).select("path", "group_id", "label", "frame_index")
+    return arms.leaked_arms(e, seeds=_SEEDS, doses=_DOSES)
+
+
+@query(f"WITH {_ARMS} SELECT seed, dose, arm, split, count(*) AS n, count(DISTINCT group_id) AS n_groups, sum(frame_index)::BIGINT AS s FROM arms GROUP BY ALL")
+def leaked_arms(spark, sf_dir):
+    return _arms(spark, sf_dir).groupBy("seed", "dose", "arm", "split").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("n_groups"), F.sum("frame_index").alias("s"))
+
+
+@query(f"WITH {_ARMS} SELECT seed, dose, path FROM arms WHERE arm = 'clean' AND split = 'train' EXCEPT ALL SELECT seed, dose, path FROM arms WHERE arm = 'leaked' AND split = 'train'")
+def clean_minus_leaked(spark, sf_dir):
+    return arms.clean_minus_leaked(_arms(spark, sf_dir))
+
+
+@query(f"WITH {_ARMS}, tg AS (SELECT DISTINCT seed, group_id FROM arms WHERE split = 'test' AND label = 'normal') SELECT a.seed, dose, arm, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test, count(*) FILTER (WHERE split = 'train' AND tg.group_id IS NOT NULL) AS n_leaked FROM arms a LEFT JOIN tg ON tg.seed = a.seed AND tg.group_id = a.group_id GROUP BY ALL")
+def leaked_arm_audit(spark, sf_dir):
+    return arms.arm_sizes(_arms(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- paired statistics
+
+_DIFF = f"{views.REPLICATES}, df AS (SELECT *, treatment - control AS d FROM r)"
+
+
+@query(f"WITH {_DIFF} SELECT contrast, count(*) AS n, round(avg(d), 6) AS mean_difference, round(quantile_cont(d, 0.5), 6) AS median_difference FROM df GROUP BY contrast")
+def paired_diff(spark, sf_dir):
+    return rounded(statistics.paired_difference(views.replicates(spark, sf_dir), ("contrast",)), "mean_difference", "median_difference")
+
+
+_RB = f"WITH {_DIFF}, rk AS (SELECT contrast, d, {_RANKS.format(by='contrast', v='abs(d)')} AS mr FROM df WHERE d <> 0), g AS (SELECT DISTINCT contrast FROM df), rb AS (SELECT g.contrast, coalesce(sum(sign(d) * mr) / sum(mr), 0) AS b FROM g LEFT JOIN rk ON rk.contrast = g.contrast GROUP BY g.contrast)"
+
+
+@query(f"{_RB} SELECT contrast, round(b, 6) AS rank_biserial FROM rb")
+def rank_biserial(spark, sf_dir):
+    return rounded(statistics.rank_biserial(views.replicates(spark, sf_dir), ("contrast",)), "rank_biserial")
+
+
+@query(f"{_RB} SELECT contrast, CASE WHEN abs(b) < 0.147 THEN 'despreciable' WHEN abs(b) < 0.33 THEN 'pequeno' WHEN abs(b) < 0.474 THEN 'mediano' ELSE 'grande' END AS effect_magnitude FROM rb")
+def effect_magnitude(spark, sf_dir):
+    found = statistics.rank_biserial(views.replicates(spark, sf_dir), ("contrast",))
+    return found.select("contrast", statistics.magnitude("rank_biserial").alias("effect_magnitude"))
+
+
+@query(f"WITH {views.REPLICATES} SELECT a.contrast, round(avg(sign(a.treatment - b.control)), 6) AS cliffs_delta FROM r a JOIN r b ON a.contrast = b.contrast GROUP BY a.contrast")
+def cliffs_delta(spark, sf_dir):
+    return rounded(statistics.cliffs_delta(views.replicates(spark, sf_dir), ("contrast",)), "cliffs_delta")
+
+
+@query(
+    "WITH t AS (SELECT label, toxic, n, n / (sum(n) OVER ())::DOUBLE AS p FROM (SELECT quality AS label, toxic, count(*) AS n FROM labels GROUP BY ALL)), o AS (SELECT *, row_number() OVER (ORDER BY p, label, toxic) AS i, count(*) OVER () AS m FROM t) "
+    "SELECT label, toxic, round(least(1.0::DOUBLE, max(p * (m - i + 1)) OVER (ORDER BY p, label, toxic ROWS UNBOUNDED PRECEDING)), 6) AS p_corrected FROM o"
+)
+def holm(spark, sf_dir):
+    counts = views.table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("label"), "toxic").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").cast("double").alias("all"))
+    tests = counts.crossJoin(total).withColumn("p_value", F.col("n") / F.col("all"))
+    return rounded(statistics.holm(tests, key=("label", "toxic")).select("label", "toxic", "p_corrected"), "p_corrected")
+
+
+@query(f"WITH {views.REPLICATES}, k AS (SELECT contrast, {_RANKS.format(by='contrast', v='treatment')} AS a, {_RANKS.format(by='contrast', v='control')} AS b FROM r) SELECT contrast, count(*) AS n, round(coalesce(corr(a, b), 0), 6) AS rho FROM k GROUP BY contrast")
+def spearman_rho(spark, sf_dir):
+    return rounded(statistics.spearman_rho(views.replicates(spark, sf_dir), "treatment", "control", ("contrast",)), "rho")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    return rounded(statistics.compare(views.replicates(spark, sf_dir), "contrast").select("contrast", "n", "ci_low", "ci_high"), "ci_low", "ci_high")
+
+
+@query()
+def wilcoxon_p(spark, sf_dir):
+    return rounded(statistics.compare(views.replicates(spark, sf_dir), "contrast", n_bootstrap=100).select("contrast", "n", "p_value"), "p_value")
+
+
+@query()
+def equivalence(spark, sf_dir):
+    found = statistics.equivalence(statistics.compare(views.replicates(spark, sf_dir), "contrast"), 2.0)
+    return found.select("contrast", "margin", "is_equivalent", "is_inconclusive")
+
+
+@query()
+def spearman_exact_p(spark, sf_dir):
+    r = views.replicates(spark, sf_dir).where("replicate < 32")
+    return rounded(statistics.monotonicity(r, "contrast", "treatment", "control"), "rho", "p_value", "min_achievable_p")
+
+
+# ---------------------------------------------------------------- capture quality and sessions
+
+_CLIP = f"""{views.CLIPS}, q AS (
+  SELECT class, day, count(*) AS n_frames, avg(brightness) AS bm, stddev_pop(brightness) AS sd, max(clipped_dark) AS dk, max(clipped_bright) AS br, quantile_cont(sharpness, 0.5) AS sm FROM c GROUP BY class, day
+), qq AS (SELECT *, CASE WHEN bm > 0 THEN sd / bm ELSE 0.0::DOUBLE END AS cv, greatest(dk, br) AS cm FROM q)"""
+
+
+@query(
+    f"WITH {_CLIP} SELECT class, day, n_frames, round(bm, 4) AS brightness_mean, round(cv, 4) AS brightness_cv, round(cm, 4) AS clipped_max, round(sm, 2) AS sharpness_median, "
+    "array_to_string(list_filter([CASE WHEN cm > 0.02 THEN CASE WHEN dk >= br THEN 'clipped_dark' ELSE 'clipped_bright' END END, CASE WHEN n_frames > 1 AND cv > 0.03 THEN 'flicker' END], lambda x: x IS NOT NULL), ',') AS warnings FROM qq"
+)
+def clip_quality(spark, sf_dir):
+    return quality.summary(quality.clip_quality(views.clips(spark, sf_dir), ("class", "day"))).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query(
+    f"WITH {_CLIP}, z AS (SELECT *, first_value(bm) OVER w AS rb, first_value(sm) OVER w AS rs FROM qq WINDOW w AS (PARTITION BY class ORDER BY day)), y AS (SELECT class, day, CASE WHEN rb > 0 THEN abs(bm - rb) / rb END AS d, CASE WHEN rs > 0 THEN 1.0::DOUBLE - sm / rs END AS l FROM z) "
+    "SELECT class, day, round(d, 6) AS brightness_drift, round(l, 6) AS sharpness_loss, array_to_string(list_filter([CASE WHEN d > 0.10 THEN 'brightness_drift' END, CASE WHEN l > 0.40 THEN 'sharpness_loss' END], lambda x: x IS NOT NULL), ',') AS drift_warnings FROM y"
+)
+def clip_drift(spark, sf_dir):
+    found = quality.drift(quality.clip_quality(views.clips(spark, sf_dir), ("class", "day")), session=("class",), order="day")
+    return rounded(found.select("class", "day", "brightness_drift", "sharpness_loss", F.array_join("drift_warnings", ",").alias("drift_warnings")), "brightness_drift", "sharpness_loss")
+
+
+@query(f"WITH {_CLIP} SELECT class, day FROM qq WHERE n_frames > 1 AND cv > 0.03")
+def flicker_cv(spark, sf_dir):
+    return quality.clip_quality(views.clips(spark, sf_dir), ("class", "day")).where(F.array_contains("warnings", "flicker")).select("class", "day")
+
+
+@query(f"WITH {views.EVENTS} SELECT t.label, count(DISTINCT e.group_id) AS n_pieces, t.target, count(DISTINCT e.group_id) < t.target AS is_rehearsal FROM (VALUES ('normal', 30::BIGINT), ('defect', 1000::BIGINT)) t(label, target) LEFT JOIN e ON e.label = t.label GROUP BY t.label, t.target")
+def progress_vs_target(spark, sf_dir):
+    return lookups.progress(views.events(spark, sf_dir), {"normal": 30, "defect": 1000})
+
+
+_PIECES = "p AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ok-' ELSE 'def-' END || lpad(user_id::VARCHAR, 3, '0') AS piece, user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 1000))"
+
+
+@query(f"WITH {_PIECES} SELECT k.prefix, k.prefix || '-' || lpad(coalesce(max(split_part(piece, '-', 2)::INT) + 1, 0)::VARCHAR, 3, '0') AS next_id FROM (VALUES ('ok'), ('def'), ('new')) k(prefix) LEFT JOIN p ON split_part(piece, '-', 1) = k.prefix GROUP BY k.prefix")
+def next_id(spark, sf_dir):
+    return lookups.next_ids(_pieces(spark, sf_dir), ["ok", "def", "new"])
+
+
+@query(f"WITH {_PIECES} SELECT piece FROM (SELECT 'ok-' || lpad(x::VARCHAR, 3, '0') AS piece FROM range(0, 200) t(x)) WHERE piece NOT IN (SELECT piece FROM p)")
+def not_yet_captured(spark, sf_dir):
+    planned = spark.range(200).select(F.concat(F.lit("ok-"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("piece"))
+    return lookups.not_yet_captured(planned, _pieces(spark, sf_dir))
+
+
+def _pieces(spark, sf_dir):
+    users = views.table(spark, sf_dir, "events").where("user_id < 1000").select("user_id").distinct()
+    return users.select(F.concat(F.when(F.col("user_id") % 2 == 0, "ok-").otherwise("def-"), F.lpad(F.col("user_id").cast("string"), 3, "0")).alias("piece"))
+
+
+@query("SELECT user_id::VARCHAR AS key, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def cache_last_wins(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "value", "event_id")
+    return lookups.last_by_key(e, "key", "value", "event_id")
+
+
+@query(f"WITH {views.EVENTS} SELECT group_id, path FROM e WHERE frame_index = 0")
+def first_of_session(spark, sf_dir):
+    return lookups.first_of(views.events(spark, sf_dir), "group_id", "frame_index").select("group_id", "path")
+
+
+# ---------------------------------------------------------------- score alignment, lookups, keys
+
+
+def _predictions(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    return e.select((F.col("event_id") % 97).alias("batch"), F.col("user_id").cast("string").alias("path"), F.col("value").alias("score"), "event_id")
+
+
+@query("WITH f AS (SELECT DISTINCT user_id::VARCHAR AS path FROM events) SELECT f.path, p.score FROM f JOIN (SELECT user_id::VARCHAR AS path, arg_max(value, event_id) AS score FROM events GROUP BY user_id) p USING (path)")
+def score_alignment(spark, sf_dir):
+    p = _predictions(spark, sf_dir).withColumn("batch", F.col("event_id"))
+    return lookups.aligned_scores(p.select("path").distinct(), p.drop("event_id"))
+
+
+@query("SELECT doc_id::VARCHAR AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_scores(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    return lookups.missing_scores(docs, views.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path")))
+
+
+@query(f"WITH {views.vectors_sql()} SELECT e.path, v.phash IS NOT NULL AS has_hash, bit_count(v.phash)::INT AS n_bits FROM (SELECT DISTINCT user_id::VARCHAR AS path FROM events) e JOIN v ON v.path = e.path")
+def hash_lookup(spark, sf_dir):
+    users = views.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path")).distinct()
+    found = lookups.with_hashes(users, views.vectors(spark, sf_dir))
+    return found.select("path", F.col("phash").isNotNull().alias("has_hash"), F.bit_count("phash").alias("n_bits"))
+
+
+@query(
+    "WITH c AS (SELECT n_nationkey AS id, n_name AS category, 0.9::DOUBLE + n_nationkey * 0.004::DOUBLE AS value, CASE WHEN n_nationkey % 3 = 0 THEN 0.95::DOUBLE END AS paper, CASE WHEN n_nationkey % 2 = 0 THEN 0.97::DOUBLE END AS library FROM nation) "
+    "SELECT category, coalesce(paper, library) AS reference, CASE WHEN paper IS NOT NULL THEN 'paper' WHEN library IS NOT NULL THEN 'library' END AS origin, CASE WHEN CASE WHEN coalesce(paper, library) IS NOT NULL THEN abs(value - coalesce(paper, library)) <= 0.0205 ELSE value >= 0.95 END THEN 'PASA' ELSE 'FALLA' END AS verdict FROM c"
+)
+def reference_verdicts(spark, sf_dir):
+    n = views.table(spark, sf_dir, "nation")
+    cells = n.select(F.lit("m").alias("model"), F.col("n_name").alias("category"), (F.lit(0.9) + F.col("n_nationkey") * F.lit(0.004)).alias("value"))
+    refs = n.select(F.lit("m").alias("model"), F.col("n_name").alias("category"), F.when(F.col("n_nationkey") % 3 == 0, F.lit(0.95)).alias("paper"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(0.97)).alias("library"))
+    joined = lookups.with_reference(cells, refs)
+    return joined.select("category", "reference", "origin", metrics.verdict(F.col("value"), F.col("reference"), F.lit(0.95), 0.0205).alias("verdict"))
+
+
+@query(f"WITH {views.EVENTS} SELECT path, ('0x' || substr(sha256(group_id || ':' || frame_index), 1, 8))::BIGINT AS seed FROM e")
+def stable_seeds(spark, sf_dir):
+    return views.events(spark, sf_dir).select("path", keys.stable_seed("group_id", "frame_index").alias("seed"))
+
+
+@query(f"WITH {views.EVENTS} SELECT path, parse_filename(path, true) AS stem, split_part(path, '/', 2) AS parent, '.png' AS suffix, split_part(path, '/', 2) || '_' || parse_filename(path, true) AS group_key FROM e")
+def frame_key(spark, sf_dir):
+    e = frames.with_keys(views.events(spark, sf_dir))
+    return e.select("path", keys.path_stem("path").alias("stem"), keys.path_parent("path").alias("parent"), keys.path_suffix("path").alias("suffix"), keys.group_of(keys.path_parent("path"), "path").alias("group_key"))
+
+
+_KEYS = ("../out.bin", "a/../../out.bin", "/etc/passwd", "..\\out.bin", "a/b.bin", "a\\b.bin", "a..b/c.bin", "C:\\x", "")
+
+
+@query("SELECT * FROM (VALUES ('../out.bin', false), ('a/../../out.bin', false), ('/etc/passwd', false), ('..\\out.bin', false), ('a/b.bin', true), ('a\\b.bin', true), ('a..b/c.bin', true), ('C:\\x', false), ('', false)) t(key, is_safe)")
+def storage_key_guard(spark, sf_dir):
+    return spark.createDataFrame([(k,) for k in _KEYS], "key string").select("key", keys.key_is_safe("key").alias("is_safe"))
+
+
+@query(f"WITH {views.vectors_sql(16)} SELECT path, phash::BIGINT AS packed FROM v")
+def packed_bits(spark, sf_dir):
+    v = views.table(spark, sf_dir, "embeddings")
+    return v.select(F.col("vec_id").cast("string").alias("path"), bits.pack_bits(F.slice(bits.sign_bits("embedding"), 1, 16)).alias("packed"))
+
+
+@query(f"WITH {views.lines_sql('l_suppkey')}, {_naive('l', 3)} SELECT split, count(*) AS n_frames, count(DISTINCT group_id) AS n_groups FROM m GROUP BY split")
+def manifest_roundtrip(spark, sf_dir):
+    """Write a manifest, read it back, count."""
+    from lamina.sources import records, sinks
+
+    path = new_folder(spark, "manifest")
+    sinks.write_manifest(splitting.split_naive(views.lines(spark, sf_dir, "l_suppkey"), seed=3), path, strategy="naive_by_frame", seed=3)
+    rows, _ = records.read_manifest(spark, path)
+    return rows.groupBy("split").agg(F.count("*").alias("n_frames"), F.count_distinct("group_id").alias("n_groups"))
+
+
+# ---------------------------------------------------------------- vector anomaly scores
+
+
+@query()
+def anomaly_memory_auroc(spark, sf_dir):
+    """AUROC on test of the distance to the nearest of a memory of normal training vectors."""
+    m = splitting.split_by_group(views.vectors(spark, sf_dir))
+    scored = anomaly.NearestMemory.fit(m).scores(m.where("split = 'test'")).withColumn("y", F.col("label") == "defect")
+    return rounded(metrics.auroc(scored), "auroc")
+
+
+@query()
+def anomaly_mahalanobis_auroc(spark, sf_dir):
+    m = splitting.split_by_group(views.vectors(spark, sf_dir))
+    scored = anomaly.Mahalanobis.fit(m).scores(m.where("split = 'test'")).withColumn("y", F.col("label") == "defect")
+    return rounded(metrics.auroc(scored), "auroc")

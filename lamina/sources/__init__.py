@@ -1 +1 @@
-
+"""Readers. All have explicit schemas; nothing is inferred."""

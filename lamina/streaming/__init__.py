@@ -1 +1 @@
-
+"""Structured Streaming versions of ordered operators."""
