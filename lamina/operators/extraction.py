@@ -31,6 +31,6 @@ def near_duplicates(originals: DataFrame, duplicates: int, config=None) -> DataF
     is the intact original. A copy's seed depends on its group and index alone."""
     from lamina.functions.images import jittered
 
-    every = originals.withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(duplicates))).cast("long"))
+    every = originals.withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(duplicates).cast("long"))))
     seed = F.when(F.col("frame_index") == 0, F.lit(-1).cast("long")).otherwise(keys.stable_seed("group_id", "frame_index"))
     return every.withColumn("image", jittered(F.col("image"), seed, config))

@@ -195,14 +195,16 @@ def _beta_inc(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1.0 - _beta_inc(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d, out = 1e-300, 1.0, 0.0, 1.0
-    for i in range(400):
-        m = i // 2
-        k = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / ((1.0 + k * d) or tiny)
-        c = (1.0 + k / c) if i else 1.0
-        out *= c * d if i else d
-        if i and abs(c * d - 1) < 1e-15:
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 300):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        before = out
+        for k in (even, odd):
+            d, c = 1.0 / (1.0 + k * d), 1.0 + k / c
+            out *= c * d
+        if abs(out - before) <= 1e-15 * abs(out):
             break
     return front * out
 
