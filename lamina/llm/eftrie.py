@@ -14,7 +14,7 @@ Level 2 has the pairs, in shards by the first word's hash; words that begin very
 several shards by their successor. Each level-2 shard holds an Elias-Fano list of its contexts (ids), an
 Elias-Fano list of monotone pointers to the contexts' successors, and the successors: ids are made monotone
 over the whole level by adding, in each context, the last value of the context before it, and Elias-Fano coded.
-Probabilities q are quantised to 8 bits in the logarithm, a to 16 bits.
+Probabilities q and weights a are quantised to 16 bits in the logarithm, downwards, so that no sum exceeds 1.
 
 Lookup is context-relative: a context's rank gives its pointer range and the value before it, the base;
 base + id is searched in the successors by select on the high bits, then among the few low bits that share
@@ -55,10 +55,12 @@ SMOOTHING = 0.1
 SHARD_TOKENS = 1 << 20
 #: Tokens whose pairs a task holds before it puts them in order.
 CHUNK_TOKENS = 1 << 21
+#: Texts that are looked up at once.
+BATCH = 1024
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 400_000
-Q_LOW, Q_STEPS = -8.0, 255
-A_LOW, A_STEPS = -8.0, 65535
+Q_LOW, Q_STEPS = -10.0, 65535
+A_LOW, A_STEPS = -10.0, 65535
 #: The end of a text: no word has white space.
 END = xxhash.xxh64_intdigest(b" ")
 _U = np.uint64
@@ -68,8 +70,8 @@ _U = np.uint64
 
 
 def ef_encode(values: np.ndarray) -> bytes:
-    """A non-decreasing list of u64 as bytes: n, low width, high words, then high bits, samples of zeros,
-    low bits."""
+    """A non-decreasing list of u64 as bytes: n, low width, number of high words and of low words; the high
+    words; zeros and ones up to and with each high word; the low words."""
     values = np.asarray(values, "<u8")
     n = len(values)
     top = int(values[-1]) if n else 0
@@ -88,7 +90,8 @@ def ef_encode(values: np.ndarray) -> bytes:
         np.bitwise_or.at(lows, word, part << shift)
         over = (shift + _U(low)) > _U(64)
         np.bitwise_or.at(lows, word[over] + 1, part[over] >> (_U(64) - shift[over]))
-    return np.array([n, low, len(words), len(lows)], "<u8").tobytes() + words.tobytes() + zeros.astype("<u8").tobytes() + lows.tobytes()
+    ones = np.arange(64, 64 * len(words) + 1, 64) - zeros
+    return np.array([n, low, len(words), len(lows)], "<u8").tobytes() + words.tobytes() + zeros.astype("<u8").tobytes() + ones.astype("<u8").tobytes() + lows.tobytes()
 
 
 _SELECT = np.zeros((256, 8), np.uint8)  # place of the k-th one of a byte
@@ -104,21 +107,17 @@ class EliasFano:
         self.n, low, n_words, n_lows = (int(x) for x in np.frombuffer(data, "<u8", 4, at))
         self.low, at = low, at + 32
         self.words = np.frombuffer(data, "<u8", n_words, at)
-        self.zeros = np.frombuffer(data, "<u8", n_words, at + 8 * n_words).view(np.int64)  # up to and with each word
-        self.lows = np.frombuffer(data, "<u8", n_lows, at + 16 * n_words)
-        self.end = at + 16 * n_words + 8 * n_lows
+        self.zeros = np.frombuffer(data, "<u8", n_words, at + 8 * n_words).view(np.int64)
+        self.ones = np.frombuffer(data, "<u8", n_words, at + 16 * n_words).view(np.int64)
+        self.lows = np.frombuffer(data, "<u8", n_lows, at + 24 * n_words)
+        self.end = at + 24 * n_words + 8 * n_lows
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Places of the k-th (from 0) ones or zeros."""
-        if ones:
-            total = self._ones()
-            word = np.searchsorted(total, k, "right")
-            left = k - np.where(word > 0, total[np.maximum(word, 1) - 1], 0)
-            bits = self.words[word]
-        else:
-            word = np.searchsorted(self.zeros, k, "right")
-            left = k - np.where(word > 0, self.zeros[np.maximum(word, 1) - 1], 0)
-            bits = ~self.words[word]
+        total = self.ones if ones else self.zeros
+        word = np.searchsorted(total, k, "right")
+        left = k - np.where(word > 0, total[np.maximum(word, 1) - 1], 0)
+        bits = self.words[word] if ones else ~self.words[word]
         out = word * 64
         for width in (32, 16, 8):
             part = bits & _U((1 << width) - 1)
@@ -129,9 +128,6 @@ class EliasFano:
             bits = np.where(go, bits >> _U(width), part)
         return out + _SELECT[(bits & _U(255)).astype(np.int64), left]
 
-    def _ones(self) -> np.ndarray:
-        return (np.arange(1, len(self.words) + 1) << 6) - self.zeros
-
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(i), "<u8")
@@ -182,8 +178,8 @@ class EliasFano:
 
 
 def quantise(p: np.ndarray, low: float, steps: int) -> np.ndarray:
-    """Codes of probabilities, evenly spaced in the logarithm; code 0 is 10**low."""
-    return np.clip(np.rint((np.log10(np.maximum(p, 1e-300)) - low) / -low * steps), 0, steps)
+    """Codes of probabilities, evenly spaced in the logarithm, rounded down; code 0 is 10**low."""
+    return np.clip(np.floor(1e-6 + (np.log10(np.maximum(p, 1e-300)) - low) / -low * steps), 0, steps)
 
 
 def dequantise(codes: np.ndarray, low: float, steps: int) -> np.ndarray:
@@ -231,26 +227,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-_HASHES: dict[bytes, int] = {}
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words and of the end."""
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    known = _HASHES
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    out = np.empty(len(words) + 1, "<u8")
-    out[:-1] = np.fromiter(map(known.__getitem__, words), "<u8", len(words))
-    out[-1] = END
-    return out
-
-
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, list]]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            b = whole.slice(at, 512)
+        for at in range(0, whole.num_rows, BATCH):
+            b = whole.slice(at, BATCH)
             yield b, b.column(column).to_pylist()
 
 
@@ -338,18 +318,18 @@ class Words:
     def counts(self, ids: np.ndarray) -> np.ndarray:
         return self.at(ids, lambda s: self._shard(s)[1])
 
-    def of_words(self, words: list[bytes]) -> np.ndarray:
-        """Ids of a text's words and its end; found ones are kept up to a bound."""
+    def of_texts(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Ids of each text's words and its end. All new words are looked up at once; found ones are kept, up
+        to a bound."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         known = self.known
-        new = list(set(words).difference(known))
-        if b" " not in known:
-            new.append(b" ")
+        new = list(set().union((b" ",), *texts).difference(known))
         if new:
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), "<u8", len(new))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, new), "<u8", len(new))
             known.update(zip(new, self.ids(h).tolist(), strict=True))
-        return np.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), known[b" "])
+        end = known[b" "]
+        return [np.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), end) for words in texts]
 
 
 def _spread(count: np.ndarray) -> np.ndarray:
@@ -371,7 +351,7 @@ class Pairs:
         self.contexts = EliasFano(data)
         self.pointers = EliasFano(data, self.contexts.end)
         self.successors = EliasFano(data, self.pointers.end)
-        self.q = np.frombuffer(data, "u1", self.successors.n, self.successors.end)
+        self.q = np.frombuffer(data, "<u2", self.successors.n, self.successors.end)
 
     @staticmethod
     def encode(v: np.ndarray, w: np.ndarray, q: np.ndarray) -> bytes:
@@ -381,7 +361,7 @@ class Pairs:
         last = np.append(begin[1:], len(v)) - 1
         base = np.concatenate([[0], np.cumsum(w[last][:-1] + 1)])
         size = np.diff(np.append(begin, len(v)))
-        return ef_encode(v[begin]) + ef_encode(np.append(begin, len(v))) + ef_encode(w + np.repeat(base, size)) + quantise(q, Q_LOW, Q_STEPS).astype("u1").tobytes()
+        return ef_encode(v[begin]) + ef_encode(np.append(begin, len(v))) + ef_encode(w + np.repeat(base, size)) + quantise(q, Q_LOW, Q_STEPS).astype("<u2").tobytes()
 
     def lookup(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """q of each pair, 0 where it is not in the shard."""
@@ -429,7 +409,7 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, known tokens, base score, score) of each text."""
-        ids = [self.words.of_words(words_of(t)) for t in texts]
+        ids = self.words.of_texts([words_of(t) for t in texts])
         n = np.array([len(x) for x in ids])
         w = np.concatenate(ids)
         end = np.cumsum(n)
@@ -449,8 +429,8 @@ class Model:
         shard = _pair_shard(v[pair], w[pair], count[place[pair]], self.shards)
         order = np.argsort(shard, kind="stable")
         pair, shard = pair[order], shard[order]
-        cut = np.nonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[0] if len(shard) else []
-        for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
+        cut = [*np.nonzero(np.diff(shard, prepend=-1))[0].tolist(), len(shard)]
+        for a, b in zip(cut, cut[1:], strict=False):
             level = self._pairs(int(shard[a]))
             if level is not None:
                 part = pair[a:b]
@@ -523,8 +503,8 @@ def train(docs: DataFrame, *, discount: float = DISCOUNT, smoothing: float = SMO
             return _chunks(shard[order], k[order], c[order])
 
         for _, texts in _texts(batches):
-            for t in texts:
-                w = level.of_words(words_of(t)).astype("<u8")
+            for w in level.of_texts([words_of(t) for t in texts]):
+                w = w.astype("<u8")
                 held.append((np.concatenate([w[-1:], w[:-1]]) << wide) | w)
                 n += len(w)
             if n > CHUNK_TOKENS:
