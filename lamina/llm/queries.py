@@ -120,6 +120,40 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (least(floor(start + rate * i) - floor(start + rate * (i - 1)), 2) * size)::BIGINT AS taken FROM placed
 """
 
+#: Windows as a recursion over turns; rendered lengths by counting what is escaped.
+_CONTROL_COUNT = " + ".join(f"2 * (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
+_OP7 = f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) v(turn, role, text)
+), t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, role, text, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {chat.PER_TURN} AS tokens,
+    {len(chat.TURN) + 1 + len(chat.END)} + length(role) + length(text) + (SELECT length(x) - length(replace(x, '\\', '')) + {_CONTROL_COUNT} FROM (SELECT role AS x)) + (SELECT length(x) - length(replace(x, '\\', '')) + {_CONTROL_COUNT} FROM (SELECT text AS x)) AS size
+  FROM said
+), p AS (
+  SELECT *, sum(tokens) OVER w - tokens AS p0, sum(tokens) OVER w AS p1, sum(size) OVER w - size AS z0, first_value(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER w AS sys, first_value(tokens) OVER w AS t0, first_value(size) OVER w AS size0
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+), c AS (SELECT conv_id, any_value(sys) AS b0, {chat.BUDGET} - any_value(sys * t0) AS room, any_value(sys * size0) AS size0, max(i) AS last FROM p GROUP BY conv_id
+), f AS (
+  SELECT conv_id, b0::BIGINT AS j, b0::BIGINT AS first, 0::BIGINT AS hist, 1::BIGINT AS windows FROM c
+  UNION ALL
+  SELECT n.conv_id, n.j, CASE WHEN n.fits THEN n.first ELSE n.back END, n.hist + CASE WHEN n.fits THEN 0 ELSE n.z0 - (SELECT z0 FROM p WHERE p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.i = n.back) END, n.windows + CASE WHEN n.fits THEN 0 ELSE 1 END
+  FROM (
+    SELECT f.conv_id, x.i AS j, f.first, f.hist, f.windows, x.z0, x.p1 - a.p0 <= c.room AS fits,
+      CASE WHEN h2.p0 IS NOT NULL AND x.i - 2 >= c.b0 AND h2.p0 + {int(chat.BUDGET * chat.HISTORY_SHARE)} >= x.p0 THEN CASE WHEN x.p1 - h2.p0 <= c.room THEN x.i - 2 ELSE x.i END
+        WHEN x.i - 1 >= c.b0 AND h1.p0 + {int(chat.BUDGET * chat.HISTORY_SHARE)} >= x.p0 THEN CASE WHEN x.p1 - h1.p0 <= c.room THEN x.i - 1 ELSE x.i END ELSE x.i END AS back
+    FROM f JOIN c ON c.conv_id IS NOT DISTINCT FROM f.conv_id JOIN p x ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.j + 1 JOIN p a ON a.conv_id IS NOT DISTINCT FROM f.conv_id AND a.i = f.first
+      JOIN p h1 ON h1.conv_id IS NOT DISTINCT FROM f.conv_id AND h1.i = x.i - 1 LEFT JOIN p h2 ON h2.conv_id IS NOT DISTINCT FROM f.conv_id AND h2.i = x.i - 2
+  ) n
+), w AS (SELECT conv_id, arg_max(hist, j) AS hist, arg_max(windows, j) AS windows FROM f GROUP BY conv_id
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss, sum(size)::BIGINT AS total FROM t GROUP BY conv_id
+)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (total + hist + (windows - 1) * c.size0)::BIGINT AS formatted_chars
+FROM g JOIN w ON w.conv_id IS NOT DISTINCT FROM g.conv_id JOIN c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_budgeted_chat": _OP7,
     "op5_systematic_mix": _OP5,
 }
