@@ -37,9 +37,12 @@ BITS = 64
 SEED = 42
 #: Fingerprints under one key that a task compares alone.
 MAX_RUN = 16_384
-#: 2 ** this bins of a sketch, two bytes each.
-SKETCH_BITS = 7
+#: Nodes under a band key that make all their pairs, and of which a task holds the sets.
+FEW, MAX_SETS = 32, 4_096
+#: Keys of a shingle set, and minima in each.
+BANDS, ROWS = 30, 5
 _CHUNK = 1 << 15
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
 def hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
@@ -63,29 +66,15 @@ def fingerprint(text: str | None, k: int) -> int:
     return made_of(hashes(text, k))
 
 
-def made_of(pieces, sketch: np.ndarray | None = None) -> int:
-    """The fingerprint of shingle hashes; sketch, if given, gets the smallest hash of each of its bins (a bin is a
-    range of hashes), all ones where there is none."""
+def made_of(pieces) -> int:
+    """The fingerprint of shingle hashes."""
     votes, n = np.zeros(BITS, np.int64), 0
     for h in pieces:
         votes += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
-        if sketch is not None:
-            h = np.sort(h)
-            bins = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            first = np.nonzero(np.diff(bins, prepend=-1))[0]
-            sketch[bins[first]] = np.minimum(sketch[bins[first]], h[first])
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity of the shingle sets of two sketches: agreeing bins among those that either
-    fills. Standard error about 0.03; nearly exact for texts of few shingles."""
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-    some = (x != 0xFFFF) | (y != 0xFFFF)
-    return float((x == y)[some].mean()) if some.any() else 1.0
-
-
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
     require(docs, "doc_id", "text")
@@ -246,44 +235,148 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, distance: int = 4, segments:
     return fps.join(names, F.col("fp") == F.col("fp_"), "left").select("doc_id", "fp", "component_id")
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes: each hashes ROWS of its minima under fixed random orders. Sets of
+    similarity s agree in a key with probability s ** ROWS."""
+    least = np.full(len(_ORDERS[0]), np.iinfo(np.uint64).max, "<u8")
+    for at in range(0, len(h), 2048):
+        part = (h[at : at + 2048, None] ^ _ORDERS[0]) * _ORDERS[1]
+        np.minimum(least, part.min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], "<u8")
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The different shingle hashes of a text (u64, sorted)."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes(text, k)]))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """A spanning forest (places) of the graph that links sets (none empty) of similarity `similar` or more."""
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begin = np.cumsum(size) - size
+    left, mark = np.ones(len(sets), bool), np.zeros(ids.max() + 1, bool)
+    out, todo = [], []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first] = False
+        todo.append(first)
+        while todo:
+            x = todo.pop()
+            own = ids[begin[x] : begin[x] + size[x]]
+            mark[own] = True
+            both = np.add.reduceat(mark[ids], begin, dtype=np.int64)
+            mark[own] = False
+            near = np.nonzero(left & (both / (size + size[x] - both) >= similar))[0].tolist()
+            left[near] = False
+            out += [(x, y) for y in near]
+            todo += near
+    return out
+
+
+def similar_links(nodes: DataFrame, proposed: DataFrame, texts: DataFrame, places: DataFrame, k: int, similar: float, few: int = FEW, max_run: int = MAX_SETS) -> DataFrame:
+    """a, b: links between nodes (node, bands) whose exact shingle sets have similarity `similar` or more.
+
+    Candidates are the proposed pairs (a, b) and the nodes that meet under a band key. Up to `few` of a key make
+    all their pairs; more get a spanning forest of links that are verified before a node counts as reached, and
+    beyond max_run in pairs of blocks. places (node and the keys of texts) says where a candidate's text is.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, f in _runs(batches):
+            begin = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+            size = np.diff(np.append(begin, len(keys)))
+            small = np.repeat(size <= few, size)
+            x, kx = f[small], keys[small]
+            for d in range(1, int(size[size <= few].max(initial=1))):
+                hit = kx[d:] == kx[:-d]
+                if hit.any():
+                    x0, x1 = x[:-d][hit], x[d:][hit]
+                    yield _batch(np.minimum(x0, x1), np.maximum(x0, x1))
+            for at, n in zip(begin[size > few], size[size > few], strict=True):
+                yield _batch(f[at : at + n], f[at : at + n], keys[at])
+
+    @F.pandas_udf("binary")
+    def sets_of(texts):
+        import pandas as pd
+
+        return pd.Series([shingle_set(t, k).tobytes() for t in texts])
+
+    @F.pandas_udf("boolean")
+    def alike(a, b):
+        import pandas as pd
+
+        return pd.Series([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= similar for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))  # two blocks at most
+        found = similar_forest([np.frombuffer(x.as_py(), "<u8") for x in rows["set"]], similar)
+        if found:
+            node = rows["node"].to_numpy().view("<u8")
+            yield _batch(*node[np.array(found)].T).select(["a", "b"])
+
+    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    met = staged(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long, key long"), "band-candidates")
+    pairs = staged(met.where("key is null").select("a", "b").union(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "similar-candidates")
+    large = met.where("key is not null").select("key", F.col("a").alias("node"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    held = texts.join(places.join(wanted, "node"), ["k1", "k2", "k3"]).select("node", sets_of("text").alias("set"))
+    sets = staged(held.groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")  # a row each, but for repeated rows
+    a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+    linked = pairs.join(a, "a").join(b, "b").where(alike("set_a", "set_b")).select("a", "b")
+    n = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(max_run / 2)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    blocks = large.join(n, "key").withColumn("block", block).select("key", "node", F.explode(met_blocks).alias("p")).select("key", "p.i", "p.j", "node")
+    return linked.union(blocks.join(sets, "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def without_copies(docs: DataFrame, *, k: int = 5, distance: int = 9, segments: int = 5, similar: float = 0.8) -> DataFrame:
     """docs with one row of each class of near-duplicates: that with the smallest doc_id (nulls last; of equal rows
     any one).
 
-    Shingles of five words and a similarity of 0.8: such copies differ in more bits than the few of a strict
-    SimHash, so the distance is wider, and a link counts only if the sketches of its two fingerprints' first
-    documents are similar. A link that fails this is not tried again through other members of its group. Rows are
-    told apart by doc_id and a hash of the text, so text moves once, and only at the end.
+    Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; classes are
+    the components of all such links. Candidates come from the SimHash index and, as such copies often differ in
+    more bits than any index of 64 bits can bear (4 to 18), from BANDS keys of ROWS minima each: a pair of similarity
+    0.8 meets under none of them with probability (1 - 0.8 ** ROWS) ** BANDS, 7e-6. Every link is verified on the
+    exact sets before it counts. Rows are told apart by doc_id and a hash of the text; the text of candidates moves
+    once for their sets, that of what is kept once at the end.
     """
     require(docs, "doc_id", "text")
 
-    @F.pandas_udf("fp long, sketch binary")
+    @F.pandas_udf("fp long, node long, bands array<long>")
     def made(texts):
         import pandas as pd
 
-        fps, sketches = [], []
+        fps, nodes, bands = [], [], []
         for t in texts:
-            sketch = np.full(1 << SKETCH_BITS, np.iinfo(np.uint64).max, "<u8")
-            fps.append(made_of(hashes(t, k), sketch))
-            low = (sketch >> np.uint64(20)).astype("<u2")
-            sketches.append(np.where(sketch == np.iinfo(np.uint64).max, np.uint16(0xFFFF), np.minimum(low, 0xFFFE)).astype("<u2").tobytes())
-        return pd.DataFrame({"fp": np.array(fps, "<u8").view("<i8"), "sketch": sketches})
-
-    @F.pandas_udf("double")
-    def alike(a, b):
-        import pandas as pd
-
-        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), made("text").alias("m")).select("d", "th", "m.fp", "m.sketch")
-    own = staged(own, "simhash")
+            pieces = list(hashes(t, k))
+            fps.append(made_of(pieces))
+            h = np.unique(np.concatenate([np.zeros(0, "<u8"), *pieces]))
+            nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+            bands.append(signature(h).view("<i8") if len(h) else np.zeros(0, "<i8"))
+        return pd.DataFrame({"fp": np.array(fps, "<u8").view("<i8"), "node": np.array(nodes, "<u8").view("<i8"), "bands": bands})
+
+    d, th = F.col("doc_id").cast("long"), F.coalesce(F.xxhash64("text"), F.lit(0))
+    own = staged(docs.select(d.alias("d"), th.alias("th"), made("text").alias("m")).select("d", "th", "m.*"), "simhash")
     first = F.struct(F.col("d").isNull().alias("none"), "d", "th")
-    distinct = staged(own.groupBy("fp").agg(F.min_by(F.struct(first.alias("first"), "sketch"), first).alias("x")).select("fp", "x.first", "x.sketch"), "simhash-distinct")
-    found = staged(links(distinct.select("fp"), distance, segments).distinct(), "simhash-candidates")
-    a = distinct.select(F.col("fp").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = distinct.select(F.col("fp").alias("b"), F.col("sketch").alias("sketch_b"))
-    classes = components(found.join(a, "a").join(b, "b").where(alike("sketch_a", "sketch_b") >= similar).select("a", "b"))
-    named = distinct.join(classes.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    distinct = staged(own.groupBy("node").agg(F.min_by(F.struct(first.alias("first"), "fp", "bands"), first).alias("x")).select("node", "x.*"), "simhash-distinct")
+    fps = staged(distinct.groupBy("fp").agg(F.min("node").alias("chief")), "simhash-fingerprints")
+    found = links(fps.select("fp"), distance, segments).distinct()
+    a, b = fps.toDF("a", "chief_a"), fps.toDF("b", "chief_b")
+    proposed = found.join(a, "a").join(b, "b").select(F.col("chief_a").alias("a"), F.col("chief_b").alias("b"))
+    proposed = proposed.union(distinct.join(fps, "fp").where("node <> chief").select("node", "chief"))
+    texts = docs.select(F.coalesce(d, F.lit(0)).alias("k1"), d.isNull().alias("k2"), th.alias("k3"), "text")
+    places = distinct.where(F.size("bands") > 0).select(F.coalesce("first.d", F.lit(0)).alias("k1"), F.col("first.none").alias("k2"), F.col("first.th").alias("k3"), "node")
+    classes = components(similar_links(distinct, proposed, texts, places, k, similar))
+    named = distinct.join(classes.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     keep = named.groupBy("component").agg(F.min("first").alias("first"))
     keep = keep.select(F.coalesce("first.d", F.lit(0)).alias("k1"), F.col("first.none").alias("k2"), F.col("first.th").alias("k3"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("k3"))

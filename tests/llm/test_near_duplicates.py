@@ -86,3 +86,40 @@ def test_forest_of_two_sides():
     a, b = (rng.integers(0, 1 << 12, 40, dtype=np.uint64) for _ in range(2))
     for x, y in simhash.forest(np.unique(a), 2, np.setdiff1d(b, a)):
         assert bin(x ^ y).count("1") <= 2
+
+
+def similar_classes(texts, similar=0.8):
+    """Each text's class, by brute force over exact sets of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    own = list(range(len(texts)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similar * (len(sets[i]) + len(sets[j]) - both):
+                own[root(i)] = root(j)
+    return {root(i) for i in range(len(texts))}, sets
+
+
+def test_large_group_of_copies_keeps_every_real_link(docs_of):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(words)]
+    for i in range(600):
+        copy = list(words)
+        for at in rng.sample(range(300), rng.choice((5, 6))):
+            copy[at] = f"edit{i}x{at}"
+        texts.append(" ".join(copy))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    want, _ = similar_classes(texts)
+    assert simhash.without_copies(docs_of(texts)).count() == len(want) < 300
