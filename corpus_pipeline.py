@@ -18,9 +18,9 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID learns from the labelled rows of docs; documents without a language (und) go."""
-    found = langid.predict(docs, langid.fit(docs), into=("lang_found", "lang_score"))
-    return found.where(F.col("lang_found") != langid.UNKNOWN).select(*docs.columns)
+    """Language ID learns from the labelled rows of docs. Documents go that have no letter or whose n-grams are less
+    likely in each learned language than by chance; without a labelled row only those without a letter."""
+    return langid.known(docs, langid.fit(docs))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,16 @@ class Model:
         k = int(np.argmax(x))
         return self.languages[k], float(1.0 / np.exp(x - x[k]).sum())
 
+    def knows(self, text: str | None) -> bool:
+        """Whether a text has a letter and its n-grams are at least as likely in some language as by chance, with all
+        buckets equally likely. Without languages every text with a letter counts."""
+        if not self.languages or not has_letter(text):
+            return has_letter(text)
+        c = buckets(text, self.bits, self.orders)
+        some = np.nonzero(c)[0]
+        x = self.log_p[:, some].astype(np.float64) @ c[some]
+        return bool(x.max() >= -c.sum() * self.bits * np.log(2))
+
 
 def fit(docs: DataFrame, *, bits: int = BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = SMOOTHING, evidence: float = EVIDENCE) -> Model:
     """Learn from all rows of docs (text, lang)."""
@@ -152,3 +162,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
 
     found = label(F.col(text))
     return docs.select("*", found.alias("lamina_found")).select("*", F.col("lamina_found.language").alias(into[0]), F.col("lamina_found.score").alias(into[1])).drop("lamina_found")
+
+
+def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs whose text the model knows."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def knows(texts):
+        import pandas as pd
+
+        return pd.Series([held.value.knows(t) for t in texts], dtype=bool)
+
+    return docs.where(knows(F.col(text)))

@@ -44,3 +44,15 @@ def test_oracles(spark, small):
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(got.columns)
         assert sorted(map(str, ([*r] for r in got.select(*columns).collect()))) == sorted(map(str, ([*r] for r in found.fetchall())))
+
+
+def test_language_stage_rejects_what_no_language_explains(spark, small, docs_of):
+    rows = [r["text"] for r in q.table(spark, small, "documents").where("lang = 'en'").collect()]
+    odd = ["Привет мир, это русский язык и текст", "これは日本語の文章です", "qzxv wkjq xxzq vvkj qqqz", "## 123 ::", None]
+    docs = docs_of([(i, t) for i, t in enumerate(rows)] + [(-1 - i, t, None) for i, t in enumerate(odd)])
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, small).collect()} == {i for i, t in enumerate(rows) if langid.has_letter(t)}
+
+
+def test_language_stage_without_labels(spark, small, docs_of):
+    docs = docs_of([(0, "The cat sleeps", None), (1, "Le chat dort", None), (2, "123", None)])
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, small).collect()} == {0, 1}
