@@ -123,3 +123,19 @@ def test_large_group_of_copies_keeps_every_real_link(docs_of):
     texts = [texts[i] for i in order]
     want, _ = similar_classes(texts)
     assert simhash.without_copies(docs_of(texts)).count() == len(want) < 300
+
+
+def test_copies_further_apart_than_the_index_of_fingerprints(docs_of):
+    rng = random.Random(5)
+    texts = []
+    while len(texts) < 16:  # pairs of similarity 0.8 or more whose fingerprints differ in 12 bits or more
+        words = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        copy = list(words)
+        for at in rng.choice(((40,), (40, 79), (0, 79))):
+            copy[at] = "edit"
+        a, b = " ".join(words), " ".join(copy)
+        if (slow_fingerprint(a, 5) ^ slow_fingerprint(b, 5)).bit_count() >= 12:
+            texts += [a, b]
+    want, _ = similar_classes(texts)
+    assert len(want) == 8
+    assert sorted(r["doc_id"] for r in simhash.without_copies(docs_of(texts)).collect()) == list(range(0, 16, 2))
