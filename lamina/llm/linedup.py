@@ -6,7 +6,9 @@ word have none. A document's later copy of text is what aligns with an earlier d
 Finding pairs: each distinct line hash has a first document, the smallest doc_id that holds it. A rare line
 (held by `rare` documents at most) pairs each of its documents with the first one and with the `back` ones
 before it; a more common line pairs each of its documents with the first one only. So a line makes pairs in
-proportion to its occurrences, however common it is, and no line is left out.
+proportion to its occurrences, however common it is, and no line is left out. Short lines that are long enough only
+together have keys too: the shortest runs of adjacent lines that reach `min_words` pair each of their documents with
+the run's first one.
 
 Alignment: the two line sequences of a pair are aligned by patience diff: lines that are unique in both are
 matched along their longest increasing subsequence, matches are extended over equal neighbours, and the gaps
@@ -25,11 +27,14 @@ results. The operator keeps all other columns; n_lines, n_deleted and deleted re
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +120,20 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return hashed.select("doc_id", "th", F.transform("p", lambda x: F.when(x == "", F.lit(0)).otherwise(F.xxhash64(x))).alias("h"), F.transform("p", lambda x: n_words(x).cast("int")).alias("w"))
 
 
-def pairs(hashed: DataFrame, rare: int, back: int) -> DataFrame:
+def run_keys(h: list[int], w: list[int], min_words: int) -> set[int]:
+    """Hashes of the shortest runs of two adjacent lines or more (those without a word left out) that reach min_words, from
+    each line on and up to each line. A common block of min_words is covered by such runs and by lines of min_words."""
+    keep = [i for i, x in enumerate(h) if x]
+    lines, at = np.array([h[i] for i in keep], "<i8"), [0, *accumulate(w[i] for i in keep)]
+    runs = set()
+    for i in range(len(keep)):
+        j = bisect_left(at, at[i] + min_words)  # the run from line i on ends before j
+        runs.add((i, j))
+        runs.add((bisect_right(at, at[i + 1] - min_words) - 1, i + 1))
+    return {xxhash.xxh64_intdigest(lines[a:b].tobytes()) - (1 << 63) for a, b in runs if 0 <= a and b <= len(keep) and b - a > 1}
+
+
+def pairs(hashed: DataFrame, rare: int, back: int, min_words: int) -> DataFrame:
     """later, earlier: ids of the documents to align."""
     lines = hashed.select("doc_id", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
     first = lines.groupBy("line").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
@@ -124,13 +142,28 @@ def pairs(hashed: DataFrame, rare: int, back: int) -> DataFrame:
     order = Window.partitionBy("line").orderBy("doc_id")  # of a rare line: `rare` rows at most
     near = F.array("first_id", *[F.lag("doc_id", k).over(order) for k in range(1, back + 1)])
     few = met.where(F.col("n") <= rare).select(F.col("doc_id").alias("later"), near.alias("near")).select("later", F.explode(F.array_distinct("near")).alias("earlier")).where("earlier < later")
-    return common.union(few).distinct()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                ids, keys = [], []
+                for d, h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    got = run_keys(h, w, min_words)
+                    ids += [d] * len(got)
+                    keys += got
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "run"])
+
+    runs = staged(hashed.select("doc_id", "h", "w").mapInArrow(made, "doc_id long, run long"), "line-runs")
+    start = runs.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last").select(F.col("run").alias("r_"), "earlier")
+    blocks = runs.join(start, F.col("run") == F.col("r_")).where("earlier < doc_id").select(F.col("doc_id").alias("later"), "earlier")
+    return common.union(few).union(blocks).distinct()
 
 
 def deletions(docs: DataFrame, rare: int, back: int, min_words: int, pairs_a_task: int) -> DataFrame:
     """doc_id, th, lines (sorted places to delete) of docs (doc_id, text)."""
     hashed = staged(line_hashes(docs), "lines")
-    found = staged(pairs(hashed, rare, back), "line-pairs")
+    found = staged(pairs(hashed, rare, back, min_words), "line-pairs")
     fan = found.groupBy("earlier").agg((F.floor(F.count("*") / F.lit(pairs_a_task)) + 1).cast("int").alias("fan"))
     fanned = found.join(fan, "earlier").select("later", "earlier", F.pmod(F.xxhash64("later"), F.col("fan")).cast("int").alias("part"))
     left = hashed.join(fan, F.col("doc_id") == F.col("earlier")).select("earlier", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.col("h").alias("h0"))

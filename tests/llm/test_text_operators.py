@@ -43,6 +43,14 @@ def test_line_dedup(docs_of):
     assert fanned == 2
 
 
+def test_blocks_of_common_short_lines(docs_of):
+    first, second = "this line is held by many", "so is this one here"  # ten words or more only together
+    rows = [(0, first), (1, second), (2, f"{first}\n{second}\nof two")] + [(3 + i, first if i % 2 else second) for i in range(12)]
+    docs = docs_of([*rows, (50, f"start\n{first}\n \n{second}\nend")])
+    got = {r["doc_id"]: r["deleted"] for r in linedup.without_common_blocks(docs, rare=3).collect()}
+    assert got[50] == [1, 2, 3] and all(not got[d] for d in got if d != 50)
+
+
 def test_line_dedup_query(spark, small):
     texts = dict(rows_of(small, "documents", "doc_id, text"))
 
