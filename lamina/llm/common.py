@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,13 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset
-    (tests, a local session) a temporary folder is set, which is only right in one process."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset in a local
+    session (tests) a temporary folder is set; on a cluster that is an error, as executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder, as the master is {master}")
         found = "file://" + tempfile.mkdtemp(prefix="lamina-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -59,6 +66,31 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While it lasts, what the session executes passes `rows` rows at a time to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows whose column (string or binary) has `most` bytes or one value."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > begin and (held + n > most or i - begin == rows):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 def lower_ascii(text):
     """A-Z to lower case, nothing else."""
     return F.translate(text, _UPPER, _UPPER.lower())

@@ -18,7 +18,7 @@ Shards are stored as the rows of a Parquet table: Spark's committer then makes t
 safe against lost executors, on any file system. `(part, shard)` is ascending document order.
 
 Nulls: a null text is the empty text, a null document id sorts first. Ties of a document id are ordered
-by text. Empty tables give an empty table. Extra columns are ignored.
+by a hash of the text, then by text, so that one id's rows, however many, spread over the ranges. Empty tables give an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, require
+from .common import arrow_rows, new_folder, require, slices, staged
 
 MAGIC = b"PFR1"
 BLOCK = 128
 PERCENTILE = 0.9
 #: A shard is closed once it has so many ids (documents are never divided).
 SHARD_TOKENS = 1 << 18
-#: Words whose ids a worker keeps, at most.
-CACHE_WORDS = 1_000_000
+#: Bytes of words and their ids that a worker keeps, about; characters of text that it encodes at a time.
+CACHE_BYTES, SLICE = 48 << 20, 1 << 20
+#: Rows of an Arrow batch of texts, and of shards.
+TEXT_ROWS, SHARD_ROWS = 512, 8
 
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, part_start long, payload binary"
 
@@ -186,8 +188,9 @@ class WordEncoder:
 
     A byte-level BPE with the usual pattern never joins across the beginning of " word", so a text's ids
     are the ids of its pieces in a row. Pieces repeat, so each distinct one is encoded once and kept (up
-    to CACHE_WORDS, then the store is emptied). Texts where such cuts are not provably right are encoded
-    in whole. Any tokenizer of another kind is used on whole texts throughout.
+    to CACHE_BYTES, then the store is emptied); a long text is cut into stretches first. Texts where such
+    cuts are not provably right, and those that hold the string of a special token, are encoded in whole.
+    Any tokenizer of another kind is used on whole texts throughout.
     """
 
     def __init__(self, path: str) -> None:
@@ -198,18 +201,24 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         made = json.loads(self.tok.to_str())
         pre = made.get("pre_tokenizer") or {}
-        self.by_word = made["model"]["type"] == "BPE" and not made.get("normalizer") and not made.get("post_processor") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        special = [t["content"] for t in made.get("added_tokens") or []]
+        plain = made["model"]["type"] == "BPE" and not made.get("normalizer") and not made.get("post_processor")
+        self.by_word = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(re.search(r"\s", x) for x in special)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         vocab = self.tok.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # a byte-level token has a character for each byte
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of pieces, encoded as one text with lead before each; the ids' byte lengths say where a
@@ -231,24 +240,51 @@ class WordEncoder:
         for words, how in ((led, lambda x: self._joined(x, "")), (bare, lambda x: self._joined(x, "\n")), (odd, self._whole)):
             for k in range(0, len(words), 5_000):
                 self.known.update(zip(words[k : k + 5_000], how(words[k : k + 5_000]), strict=True))
+        self.held += sum(map(len, new)) * 5 + 160 * len(new)
 
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
+    def _cuts(self, text: str) -> int:
+        """Where a text may be cut: 2 before spaces and around line feeds and marks, 1 before spaces, 0 nowhere."""
+        if not self.by_word or self.special.search(text):
+            return 0
         if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x01" in text or _OTHER_SPACE.search(text) or _ODD_MARK.search(text)):
-            t = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
-            return t.replace(".\x01", "\x01.\x01").replace(",\x01", "\x01,\x01").split("\x01")
-        if not _COARSE_UNSAFE.search(text):
+            return 2
+        return 0 if _COARSE_UNSAFE.search(text) else 1
+
+    @staticmethod
+    def _stretches(text: str) -> Iterator[str]:
+        """A text in stretches of about SLICE characters, each but the first beginning with a space."""
+        at = 0
+        while len(text) - at > SLICE:
+            cut = text.rfind(" ", at + 1, at + SLICE)
+            cut = cut if cut > 0 else text.find(" ", at + SLICE)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    @staticmethod
+    def _pieces(text: str, cuts: int) -> list[str]:
+        if cuts == 1:
             return text.replace(" ", "\x01 ").split("\x01")
-        return None
+        t = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
+        return t.replace(".\x01", "\x01.\x01").replace(",\x01", "\x01,\x01").split("\x01")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) if self.by_word else None for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
+        """The ids of texts, about SLICE characters together or one text."""
+        cuts = list(map(self._cuts, texts))
+        if any(len(t) > SLICE and c for t, c in zip(texts, cuts, strict=True)):
+            return [b"".join(x for part in self._stretches(t) for x in self._encoded([part], [c])) if c else self._whole([t])[0] for t, c in zip(texts, cuts, strict=True)]
+        return self._encoded(texts, cuts)
+
+    def _encoded(self, texts: list[str], cuts: list[int]) -> list[bytes]:
+        if self.held > CACHE_BYTES:
+            self.forget()
+        pieces = [self._pieces(t, c) if c else None for t, c in zip(texts, cuts, strict=True)]
         known = self.known
-        self._learn(list(set().union(*(ws for ws in cut if ws)).difference(known)))
-        whole = iter(self._whole([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
-        return [next(whole) if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
+        self._learn(list(set().union(*(ws for ws in pieces if ws)).difference(known)))
+        whole = iter(self._whole([t for t, ws in zip(texts, pieces, strict=True) if ws is None]))
+        return [next(whole) if ws is None else b"".join(map(known.__getitem__, ws)) for ws in pieces]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -282,7 +318,7 @@ _ARROW_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs"
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, block: int = BLOCK, percentile: float = PERCENTILE) -> None:
     """Encode docs (doc_id, text), append end_id to each document, and write PFOR shards to `path` in
     ascending doc_id order. One range shuffle of (doc_id, text), each range sorted on disk if need be;
-    a task holds one shard and one Arrow batch."""
+    a task holds one shard, one Arrow batch of TEXT_ROWS and the ids of the words it has met, up to CACHE_BYTES."""
     require(docs, "doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -291,8 +327,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
 
         def rows():
             for b in batches:
-                for k in range(0, b.num_rows, 256):
-                    part = b.slice(k, 256)
+                for part in slices(b, 1, SLICE):
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     for d, raw in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
                         yield d, raw + end
@@ -301,8 +336,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW_SHARD.types, strict=True)], schema=_ARROW_SHARD)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 _ARROW_DOCS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -312,7 +349,8 @@ def read_documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the shards.
 
     Ids before a document = ids of the ranges before its range (one row a range, so the window below
-    sorts as many rows as there are ranges) + ids before its shard in the range + ids in the shard.
+    sorts as many rows as there are ranges) + ids before its shard in the range + ids in the shard. The figures
+    are written as a scratch table, so that batches of shards stay small whoever reads the result.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +368,8 @@ def read_documents(spark, path: str) -> DataFrame:
     before = totals.select(F.col("part").alias("part_"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     docs = shards.select("part", "part_start", "payload").mapInArrow(decode, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     joined = docs.join(F.broadcast(before), docs["part"] == before["part_"])  # a row a range: bounded by the shuffle partitions
-    return joined.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    with arrow_rows(spark, SHARD_ROWS):
+        return staged(joined.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"), "token-documents")
 
 
 def token_documents(docs: DataFrame, tokenizer: str, path: str | None = None, **how) -> DataFrame:

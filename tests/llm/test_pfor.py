@@ -4,9 +4,10 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lamina.llm import pfor
+from lamina.llm import pfor, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,14 +28,36 @@ def test_cuts_give_the_tokenizers_ids(text):
     assert e.encode([text]) == e._whole([text])
 
 
-def test_documents(docs_of, odd_rows):
-    got = pfor.token_documents(docs_of(odd_rows), PATH, shard_tokens=16).orderBy("start").collect()
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    start = 0
-    for r, (d, x, *_) in zip(got, sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
-        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+def ordered(docs):
+    text = F.coalesce("text", F.lit(""))
+    return [(r[0], r[1]) for r in docs.select("doc_id", text.alias("t")).orderBy("doc_id", F.xxhash64("t"), "t").collect()]
+
+
+def held(found, docs):
+    """The result against the tokenizers library, document by document."""
+    t, start = Tokenizer.from_file(PATH), 0
+    for r, (d, x) in zip(found.orderBy("start").collect(), ordered(docs), strict=True):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (d, start, len(ids))
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
-    assert pfor.token_documents(docs_of(odd_rows).limit(0), PATH).isEmpty()
+
+
+def test_documents(docs_of, odd_rows):
+    docs = docs_of([*odd_rows, (7, "a <|endoftext|> b"), (8, "<|endoftext|>"), (None, None)])
+    extra = docs.withColumn("part", F.lit(1)).withColumn("payload", F.lit("x")).withColumn("n_tokens", F.lit(0))
+    held(pfor.token_documents(extra, PATH, shard_tokens=16), docs)
+    assert pfor.token_documents(docs.limit(0), PATH).isEmpty()
+
+
+def test_stretches_of_a_long_text(monkeypatch):
+    e = pfor.WordEncoder(PATH)
+    text = "é " + "ab cd. ef, g\n" * 5_000 + "  two" + "x" * 3_000
+    whole = e._whole([text, text[:60_000]])
+    monkeypatch.setattr(pfor, "SLICE", 1_000)
+    monkeypatch.setattr(pfor, "CACHE_BYTES", 200)
+    assert e.encode([text, text[:60_000]]) == whole
+
+
+def test_query_on_documents(spark, small):
+    held(queries.op1_pfor_tokens(spark, small), queries.table(spark, small, "documents"))
