@@ -343,24 +343,49 @@ def test_leak_query_against_brute_force(spark, small):
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def test_recall_and_scores(spark, small):
-    rows = rows_of(small, "embeddings", "vec_id, embedding")
-    x = np.array([v for _, v in rows], float)
-    ids = np.array([i for i, _ in rows])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+def recall(rows, found, every=50):
+    """Recall of the five nearest against brute force; ranks and scores are checked."""
+    ids, u = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     got = defaultdict(list)
-    for r in q.op10_posting_list_search(spark, small).orderBy("query_id", "rank").collect():
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hit = total = 0
-    for k in np.nonzero(ids % 50 == 0)[0]:
+    for k in np.nonzero(ids % every == 0)[0]:
         s = u @ u[k]
         s[k] = -9
         near = ids[np.lexsort((ids, -s))[:5]]
-        found = got[ids[k]]
-        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5][: len(found)]
-        assert all(sc == pytest.approx(s[ids == v][0], abs=1e-12) for _, v, sc in found)
-        hit, total = hit + len({v for _, v, _ in found} & set(near)), total + 5
-    assert hit / total >= 0.9
+        assert [r for r, _, _ in got[ids[k]]] == [1, 2, 3, 4, 5]
+        assert all(sc == pytest.approx(s[ids == v][0], abs=1e-12) for _, v, sc in got[ids[k]])
+        hit, total = hit + len({v for _, v, _ in got[ids[k]]} & set(near)), total + 5
+    return hit / total
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_recall_and_scores(spark, size):
+    at = f"/root/testdata/{size}"
+    assert recall(rows_of(at, "embeddings", "vec_id, embedding"), q.op10_posting_list_search(spark, at).collect()) >= 0.9
+
+
+def test_bins_divide_lists_and_queries(spark):
+    """Many equal vectors, small bins, few queries a task: results stay those of brute force, ties by id."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))] + [(i, [1.0] * 8) for i in range(600, 900)]
+    v = ann.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index = ann.fit(v, k=5, list_size=40, recall=1.0)
+    whole = ann.search(v, v.where("id % 50 = 0"), 5, index).collect()
+    cut = ann.search(v, v.where("id % 50 = 0"), 5, index, bin_bytes=8 * 8 * 30, query_rows=3).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(cut) == 90
+    assert [r["vec_id"] for r in sorted(cut, key=lambda r: r["rank"]) if r["query_id"] == 850] == [600, 601, 602, 603, 604]
+    assert recall([r for r in rows if r[0] < 600 or r[0] == 600], [r for r in ann.search(v.where("id <= 600"), v.where("id <= 600 AND id % 50 = 0"), 5, index).collect()]) >= 0.95
+
+
+def test_pruning_widens_to_k(spark):
+    """Each cluster holds two vectors: a query's own list is not enough for five."""
+    rows = [(2 * i + j, [float(i == c) + 0.001 * j * (c == 0) for c in range(12)]) for i in range(12) for j in range(2)]
+    v = ann.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index = ann.Index(ann.Graph(np.eye(12)), 0.0, 1, 0.0, 12)
+    assert {r["query_id"]: r["count"] for r in ann.search(v, v, 5, index).groupBy("query_id").count().collect()} == dict.fromkeys(range(24), 5)
 
 
 def test_search_odd_vectors(spark):
