@@ -39,7 +39,7 @@ def test_line_dedup(docs_of):
     assert got[3, 7, f"other start\n{shared}\nother end"] == [] and got[11, 2, "short line\ny"] == []
     assert got[1, 0, None] == [] and got[None, 5, shared] == [] and got[5, 1, ""] == []
     assert linedup.without_common_blocks(docs.limit(0)).isEmpty()
-    fanned = linedup.without_common_blocks(docs, rare=1, pairs_a_task=1).where("n_deleted > 0").count()
+    fanned = linedup.without_common_blocks(docs, pairs_a_task=1).where("n_deleted > 0").count()
     assert fanned == 2
 
 
@@ -47,10 +47,62 @@ def test_blocks_of_common_short_lines(docs_of):
     first, second = "this line is held by many", "so is this one here"  # ten words or more only together
     rows = [(0, first), (1, second), (2, f"{first}\n{second}\nof two")] + [(3 + i, first if i % 2 else second) for i in range(12)]
     docs = docs_of([*rows, (50, f"start\n{first}\n \n{second}\nend")])
-    got = {r["doc_id"]: r["deleted"] for r in linedup.without_common_blocks(docs, rare=3).collect()}
+    got = {r["doc_id"]: r["deleted"] for r in linedup.without_common_blocks(docs).collect()}
     assert got[50] == [1, 2, 3] and all(not got[d] for d in got if d != 50)
 
 
+def brute_deletions(docs, min_words):
+    """Lines in a run of min_words words that a document with a smaller id holds: all pairs, all runs."""
+    words = {d: [(i, " ".join(re.split(r"[\x20\x09-\x0D]+", x)).strip()) for i, x in enumerate(t.split("\n"))] for d, t in docs.items()}
+    words = {d: [(i, x) for i, x in xs if x] for d, xs in words.items()}
+    out = {}
+    for d, a in words.items():
+        gone = set()
+        for e, b in words.items():
+            if e >= d:
+                continue
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in a[i : i + n]) >= min_words:
+                        gone |= set(range(i, i + n))
+        places = {a[k][0] for k in gone}
+        for k in gone:  # blank lines between two deleted lines go with them
+            if k - 1 in gone:
+                places |= set(range(a[k - 1][0], a[k][0]))
+        out[d] = sorted(places)
+    return out
+
+
+def test_line_dedup_against_brute_force(docs_of):
+    rng = np.random.default_rng(3)
+    lines = ["one two", "three four five", "six seven eight nine", "a b c d e", "u v w x y z", "", " \t", "long line of eleven words which is enough by itself alone"]
+    docs = {d: "\n".join(rng.choice(lines, rng.integers(1, 14))) for d in range(60)}
+    block = "p1 p2 p3 p4 p5 p6\nq1 q2 q3 q4 q5 q6"
+    docs |= {60: "p1 p2 p3 p4 p5 p6\nalone", 61: "alone too\nq1 q2 q3 q4 q5 q6"} | {d: f"own {d}\n{block}\n{docs[d % 60]}" for d in range(62, 230)}
+    docs |= {300: f"x0\n{block}\nx1\n{block}\nx2\n{block}", 301: "q1 q2 q3 q4 q5 q6\nr\n" + block, 302: "\n".join([block] * 40)}
+    got = {r["doc_id"]: r["deleted"] for r in linedup.without_common_blocks(docs_of(list(docs.items()))).collect()}
+    assert got == brute_deletions(docs, linedup.MIN_WORDS)
+    assert all(got[d] for d in range(63, 230)) and not got[62][:0]
+
+
+def test_crossed_and_repeated_blocks():
+    a, b = np.array([9, 1, 2, 3, 8, 1, 2, 3, 7, 4, 5]), np.array([4, 5, 6, 1, 2, 3])
+    w = np.full(11, 4, np.int32)
+    assert linedup.common_lines(a, b, w, 8) == [4 * k + 3 for k in (1, 2, 3, 5, 6, 7, 9, 10)]
+    assert linedup.common_lines(b, a, w[:6], 12) == [4 * k + 3 for k in (3, 4, 5)]
+    assert linedup.common_lines(np.array([0, 1, 0, 2]), np.array([1, 2]), w[:4], 8) == [7, 9, 2, 15, 10]
+
+
+def test_long_and_repeated_rows(docs_of):
+    long = "\n".join(f"line {i} of a very long text with words" for i in range(20_000))
+    rows = [(1, long), (2, long), (2, long), (3, long + "\nend"), (4, None), (4, "")]
+    got = {(r["doc_id"], r["n_lines"]): r["n_deleted"] for r in linedup.without_common_blocks(docs_of(rows).withColumn("deleted", F.lit(1)).withColumn("th", F.lit(2))).collect()}
+    assert got == {(1, 20_000): 0, (2, 20_000): 20_000, (3, 20_001): 20_000, (4, 0): 0, (4, 1): 0}
+
+
 def test_line_dedup_query(spark, small):
     texts = dict(rows_of(small, "documents", "doc_id, text"))
 
