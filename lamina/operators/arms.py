@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.config import SplitRatios
-from lamina.functions.keys import seeded_order
+
+from .splitting import ranked_by_seed
 
 
 def leaked_arms(frames: DataFrame, *, seeds: Sequence[int], doses: Sequence[float], ratios: SplitRatios | None = None) -> DataFrame:
@@ -29,9 +30,8 @@ def leaked_arms(frames: DataFrame, *, seeds: Sequence[int], doses: Sequence[floa
     every = frames.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     normal = every.where("label = 'normal'")
     groups = normal.groupBy("seed", "group_id").agg(F.count("*").alias("n_frames"))
-    order = seeded_order(F.col("seed"), "group_id")
-    by = Window.partitionBy("seed").orderBy("o", "group_id")
-    groups = groups.withColumn("o", order).withColumn("g_rank", F.row_number().over(by)).withColumn("n_groups", F.count("*").over(Window.partitionBy("seed")))
+    seed = F.col("seed")
+    groups = ranked_by_seed(groups, seed, "group_id", ("seed",)).withColumnsRenamed({"rn": "g_rank", "total": "n_groups"})
     n = F.col("n_groups").cast("double")
     cut_train, cut_val = F.bround(n * ratios.train), F.bround(n * ratios.val)
     groups = groups.withColumn("split", F.when(F.col("g_rank") <= cut_train, "train").when(F.col("g_rank") <= cut_train + cut_val, "val").otherwise("test"))
@@ -39,7 +39,7 @@ def leaked_arms(frames: DataFrame, *, seeds: Sequence[int], doses: Sequence[floa
     groups = groups.withColumn("split", F.when(bad, F.raise_error(F.lit("there are too few groups to split"))).otherwise(F.col("split")))
     # rows of clean train before a group: prefix sums over groups
     held = F.when(F.col("split") == "train", F.col("n_frames")).otherwise(0)
-    groups = groups.withColumn("before", F.sum(held).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - held).withColumn("n_train", F.sum(held).over(Window.partitionBy("seed")))
+    groups = ranked_by_seed(groups, seed, "group_id", ("seed",), held).withColumn("before", F.col("rn") - held).withColumnRenamed("total", "n_train").drop("rn")
     placed = normal.join(groups.select("seed", "group_id", "split", "before", "n_train"), ["seed", "group_id"])
     in_group = F.row_number().over(Window.partitionBy("seed", "group_id").orderBy("frame_index", "path"))
     placed = placed.withColumn("rn", F.col("before") + in_group)
@@ -52,8 +52,7 @@ def leaked_arms(frames: DataFrame, *, seeds: Sequence[int], doses: Sequence[floa
     n_leak = F.bround(F.col("n_train").cast("double") * F.col("dose"))
     train = train.where((F.col("arm") == "clean") | (F.col("rn") > n_leak)).select(*columns)
     spare = placed.where("split = 'test' AND frame_index > 0")
-    lots = Window.partitionBy("seed").orderBy(seeded_order(F.col("seed"), "path"), "path")
-    spare = spare.withColumn("rn", F.row_number().over(lots)).withColumn("n_spare", F.count("*").over(Window.partitionBy("seed")))
+    spare = ranked_by_seed(spare.drop("rn"), seed, "path", ("seed",)).withColumnRenamed("total", "n_spare")
     leak = spare.withColumn("dose", dose).withColumn("arm", F.lit("leaked"))
     short = F.raise_error(F.lit("a dose needs more near-duplicates of test groups than there are"))
     leak = leak.withColumn("split", F.when(n_leak > F.col("n_spare"), short).otherwise(F.lit("train"))).where(F.col("rn") <= n_leak).select(*columns)

@@ -35,15 +35,15 @@ def deduplicate(frames: DataFrame, *, max_distance: int | F.Column, by: Sequence
     item = F.struct("source_video", "frame_index", "path", F.col("phash").alias("h"), F.struct(*names).alias("row"))
     pool = frames.withColumn("d_", d).groupBy(*(keys or [F.lit(0).alias("pool_")]), "d_").agg(F.array_sort(F.collect_list(item), lambda a, b: _order(a, b)).alias("xs"))
     hashes = F.transform("xs", lambda x: x["h"])
-    start = F.struct(F.slice(hashes, 1, 0).alias("kept"), F.array().cast("array<boolean>").alias("flags"))
+    start = F.struct(F.slice(hashes, 1, 0).alias("kept"), F.lit("").alias("flags"))
 
     def step(a, x):
         near = F.exists(a["kept"], lambda k: far(k, x) <= F.col("d_"))
-        return F.struct(F.when(near, a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"), F.array_append(a["flags"], ~near).alias("flags"))
+        return F.struct(F.when(near, a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"), F.concat(a["flags"], (~near).cast("int").cast("string")).alias("flags"))
 
-    folded = pool.withColumn("flags", F.aggregate(hashes, start, step)["flags"])
+    folded = pool.withColumn("flags", F.split(F.aggregate(hashes, start, step)["flags"], ""))  # a character a frame: appending to an array would copy it
     rows = folded.select(F.explode(F.arrays_zip("xs", "flags")).alias("z"))
-    return rows.select("z.xs.row.*", F.col("z.flags").alias("kept"))
+    return rows.select("z.xs.row.*", (F.col("z.flags") == "1").alias("kept"))
 
 
 def _order(a, b):

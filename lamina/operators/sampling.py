@@ -31,17 +31,17 @@ def sample(frames: DataFrame, config: SamplerConfig | None = None, *, signal: st
     difference = difference or (vector_difference if kind.typeName() == "array" else scalar_difference)
     item = F.struct(F.col(order).alias("o"), F.col(signal).alias("x"), F.struct(*frames.columns).alias("row"))
     per = frames.groupBy(group).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("xs"))
-    start = F.struct(F.lit(None).cast(kind).alias("ref"), F.lit(0).alias("since"), F.lit(True).alias("first"), F.array().cast("array<boolean>").alias("flags"))
+    start = F.struct(F.lit(None).cast(kind).alias("ref"), F.lit(0).alias("since"), F.lit(True).alias("first"), F.lit("").alias("flags"))
 
     def step(a, x):
         since = a["since"] + 1
         forced = since >= config.max_interval if config.max_interval is not None else F.lit(False)
         keep = F.when(a["first"], True).when(since < config.min_interval, False).otherwise(forced | F.coalesce(difference(x["x"], a["ref"]) >= config.min_difference, F.lit(False)))
-        return F.struct(F.when(keep, x["x"]).otherwise(a["ref"]).alias("ref"), F.when(keep, F.lit(0)).otherwise(since).alias("since"), F.lit(False).alias("first"), F.array_append(a["flags"], keep).alias("flags"))
+        return F.struct(F.when(keep, x["x"]).otherwise(a["ref"]).alias("ref"), F.when(keep, F.lit(0)).otherwise(since).alias("since"), F.lit(False).alias("first"), F.concat(a["flags"], keep.cast("int").cast("string")).alias("flags"))
 
-    flags = F.aggregate("xs", start, step)["flags"]
+    flags = F.split(F.aggregate("xs", start, step)["flags"], "")  # a character a frame: appending to an array would copy it
     rows = per.select(F.explode(F.arrays_zip("xs", flags.alias("flags"))).alias("z"))
-    return rows.select("z.xs.row.*", F.col("z.flags").alias("kept"))
+    return rows.select("z.xs.row.*", (F.col("z.flags") == "1").alias("kept"))
 
 
 def stats(flagged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

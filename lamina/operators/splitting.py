@@ -6,49 +6,54 @@ the seed and the keys alone, on any engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lamina.config import SPLITS, SplitRatios
 from lamina.functions.keys import seeded_order
 
 from .frames import consistent_groups
 
-#: Groups that one deficit-greedy pass assigns; more are dealt to several passes by hash.
-GROUPS_A_PASS = 200_000
 
-
-def assign(groups: DataFrame, targets: dict[str, float], seed: int, per_pass: int = GROUPS_A_PASS) -> DataFrame:
+def assign(groups: DataFrame, targets: dict[str, float], seed: int) -> DataFrame:
     """group_id, split for groups (group_id, n_frames): in seeded order each group goes to the split with the
     largest deficit, target * total - assigned so far; ties go to the first split. A split with a positive
     target that stays empty is an error; no groups give no rows.
 
-    The rule is sequential. It runs as a fold over an array of (order, group, size), so a pass is one row of a
-    few MB; beyond per_pass groups they are dealt by hash into passes of about that size, each of which meets
-    the targets of its own total, and so all together do.
+    The rule is sequential, but its state is a number a split: groups (not rows) are sorted into one partition, on
+    disk if need be, and stream through a task that holds no more than those numbers, whatever their count.
     """
     names = [s for s in SPLITS if s in targets]
-    n = groups.agg(F.ceil(F.count("*") / F.lit(per_pass)).cast("int").alias("passes"))
-    dealt = groups.crossJoin(F.broadcast(n)).withColumn("pass", F.pmod(F.xxhash64("group_id"), F.greatest(F.col("passes"), F.lit(1))).cast("int"))
-    item = F.struct(seeded_order(seed, "group_id").alias("o"), F.col("group_id").alias("g"), F.col("n_frames").cast("double").alias("n"))
-    per = dealt.groupBy("pass").agg(F.array_sort(F.collect_list(item)).alias("xs"), F.sum("n_frames").cast("double").alias("total"))
-    zero = F.array(*[F.lit(0.0) for _ in names])
-    goal = F.array(*[F.lit(float(targets[s])) for s in names])
-    start = F.struct(zero.alias("held"), F.array().cast("array<int>").alias("to"))
-
-    def step(a, x):
-        deficit = F.zip_with(goal, a["held"], lambda t, h: t * F.col("total") - h)
-        k = F.array_position(deficit, F.array_max(deficit)).cast("int")
-        held = F.transform(a["held"], lambda h, i: F.when(i == k - 1, h + x["n"]).otherwise(h))
-        return F.struct(held.alias("held"), F.array_append(a["to"], k).alias("to"))
-
-    folded = per.withColumn("f", F.aggregate("xs", start, step))
-    used = folded.withColumn("empty", F.exists(F.zip_with(goal, "f.held", lambda t, h: (t > 0) & (h == 0)), lambda x: x))
-    to = F.when(F.col("empty"), F.raise_error(F.lit("a split would be empty: there are too few groups"))).otherwise(F.col("f.to"))
-    rows = used.select(F.explode(F.arrays_zip(F.transform("xs", lambda x: x["g"]).alias("g"), to.alias("k"))).alias("z"))
-    return rows.select(F.col("z.g").alias("group_id"), F.element_at(F.array(*[F.lit(s) for s in names]), F.col("z.k")).alias("split"))
+    goal = [float(targets[s]) for s in names]
+    total = groups.agg(F.coalesce(F.sum("n_frames"), F.lit(0)).cast("double").alias("total"))
+    ordered = groups.select("group_id", F.col("n_frames").cast("double").alias("n"), seeded_order(seed, "group_id").alias("o")).crossJoin(F.broadcast(total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, some = [0.0] * len(names), False
+        for b in batches:
+            to, some = [], some or b.num_rows > 0
+            whole = [t * b.column(3)[0].as_py() for t in goal] if b.num_rows else []
+            for n in b.column(1).to_pylist():
+                deficit = [w - h for w, h in zip(whole, held, strict=True)]
+                k = deficit.index(max(deficit))
+                held[k] += n
+                to.append(names[k])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to, pa.string())], names=["group_id", "split"])
+        if some and any(t > 0 and not h for t, h in zip(goal, held, strict=True)):
+            raise ValueError("a split would be empty: there are too few groups")
+
+    kind = StructType([groups.schema["group_id"], StructField("split", StringType())])
+    return ordered.repartition(1).sortWithinPartitions("o", "group_id").mapInArrow(run, kind)
+
+
+def _fraction(value: float) -> float:
+    if not 0.0 <= value <= 1.0:
+        raise ValueError("defect_val_fraction must be in [0, 1]")
+    return value
 
 
 def with_assignment(frames: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def with_assignment(frames: DataFrame, assignment: DataFrame) -> DataFrame:
 def split_by_group(frames: DataFrame, *, ratios: SplitRatios | None = None, seed: int = 0, defect_val_fraction: float = 0.3) -> DataFrame:
     """Normal groups go to train, val and test by ratios; defect groups to val and test only. No group is in
     two splits. Fewer than three normal groups are an error."""
-    ratios = ratios or SplitRatios()
+    ratios, defect_val_fraction = ratios or SplitRatios(), _fraction(defect_val_fraction)
     groups = consistent_groups(frames)
     normal = groups.where("label = 'normal'")
     few = normal.agg(F.when(F.count("*") < 3, F.raise_error(F.lit("three normal groups or more are needed"))).otherwise(F.lit(True)).cast("boolean").alias("enough"))
@@ -69,23 +74,24 @@ def split_by_group(frames: DataFrame, *, ratios: SplitRatios | None = None, seed
     return with_assignment(frames, to.unionByName(defect))
 
 
-def ranked_by_seed(frames: DataFrame, seed: int, key: str, by: tuple[str, ...]) -> DataFrame:
+def ranked_by_seed(frames: DataFrame, seed: int | Column, key: str, by: tuple[str, ...], value: Column | None = None) -> DataFrame:
     """frames with rn (position in seeded order, from 1) and total, within `by`, without a task that holds all
     rows: rows are dealt by the order's leading digits, cells are counted, and a row's position is its cell's
-    offset plus its position in the cell."""
-    rows = frames.withColumn("o_", seeded_order(seed, key)).withColumn("lead_", F.substring("o_", 1, 3))
-    cells = rows.groupBy(*by, "lead_").agg(F.count("*").alias("c_"))
+    offset plus its position in the cell. With value, rn and total are sums of it, the row's own included."""
+    value = F.lit(1) if value is None else value
+    rows = frames.withColumn("o_", seeded_order(seed, key)).withColumn("lead_", F.substring("o_", 1, 3)).withColumn("v_", value)
+    cells = rows.groupBy(*by, "lead_").agg(F.sum("v_").alias("c_"))
     before = Window.partitionBy(*by).orderBy("lead_").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("b_", F.coalesce(F.sum("c_").over(before), F.lit(0))).withColumn("total", F.sum("c_").over(Window.partitionBy(*by)))
-    inner = F.row_number().over(Window.partitionBy(*by, "lead_").orderBy("o_", key))
+    inner = F.sum("v_").over(Window.partitionBy(*by, "lead_").orderBy("o_", key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = rows.withColumn("i_", inner).join(F.broadcast(cells.drop("c_")), [*by, "lead_"])  # 4096 cells a value of by
-    return placed.withColumn("rn", F.col("b_") + F.col("i_")).drop("o_", "lead_", "i_", "b_")
+    return placed.withColumn("rn", F.col("b_") + F.col("i_")).drop("o_", "lead_", "i_", "b_", "v_")
 
 
 def split_naive(frames: DataFrame, *, ratios: SplitRatios | None = None, seed: int = 0, defect_val_fraction: float = 0.3) -> DataFrame:
     """Row by row, whatever the group: normal rows in seeded order, cut at round(n * ratio) (half to even);
     defect rows into val and test. This is the baseline that leaks."""
-    ratios = ratios or SplitRatios()
+    ratios, defect_val_fraction = ratios or SplitRatios(), _fraction(defect_val_fraction)
     rows = ranked_by_seed(frames, seed, "path", ("label",))
     n, rn = F.col("total").cast("double"), F.col("rn")
     train, val = F.bround(n * ratios.train), F.bround(n * ratios.val)

@@ -112,7 +112,8 @@ def bootstrap_ci(d: np.ndarray, n_bootstrap: int = 10_000, seed: int = 0) -> tup
     if n_bootstrap < 100:
         raise ValueError("n_bootstrap must be 100 or more")
     rng = np.random.default_rng(seed)
-    means = rng.choice(d, size=(n_bootstrap, len(d)), replace=True).mean(axis=1)
+    at_once = max(1, (1 << 22) // max(1, len(d)))  # replicates drawn at a time: 32 MB
+    means = np.concatenate([rng.choice(d, size=(min(at_once, n_bootstrap - k), len(d)), replace=True).mean(axis=1) for k in range(0, n_bootstrap, at_once)])
     low, high = np.percentile(means, [2.5, 97.5])
     return float(low), float(high)
 

@@ -54,21 +54,19 @@ def _naive(view: str, seed: int = 0) -> str:
 
 
 def _by_group(view: str, seed: int = 0) -> str:
-    """CTEs up to m: the deficit-greedy split of a view, groups in seeded order, by recursion."""
+    """CTEs up to m: the deficit-greedy split of a view: a fold over the groups in seeded order whose state is the
+    frames assigned to each split, and a letter for each group."""
+    deficit = {s: f"goal.{s} * total - acc.{s}" for s in "abc"}
+    to = {s: f"""{{'n': 0.0::DOUBLE, {", ".join(f"'{x}': acc.{x}" + (" + x.n" if x == s else "") for x in "abc")}, 's': acc.s || '{s}'}}""" for s in "abc"}
     return f"""g AS (
   SELECT group_id, label, n, row_number() OVER (PARTITION BY label ORDER BY {_SEEDED.format(seed=seed, key="group_id")}, group_id) AS k, sum(n) OVER (PARTITION BY label)::DOUBLE AS total
   FROM (SELECT group_id, min(label) AS label, count(*)::DOUBLE AS n FROM {view} GROUP BY group_id)
-), t AS (SELECT * FROM (VALUES ('normal', 0.6::DOUBLE, 0.2::DOUBLE, 0.2::DOUBLE), ('defect', -1e9::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE - 0.3::DOUBLE)) x(label, a, b, c)
+), t AS (SELECT * FROM (VALUES ('normal', {{'a': 0.6::DOUBLE, 'b': 0.2::DOUBLE, 'c': 0.2::DOUBLE}}), ('defect', {{'a': -1e9::DOUBLE, 'b': 0.3::DOUBLE, 'c': 1.0::DOUBLE - 0.3::DOUBLE}})) x(label, goal)
+), xs AS (SELECT label, goal, total, list({{'n': n, 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 's': ''}} ORDER BY k) AS xs FROM g JOIN t USING (label) GROUP BY ALL
 ), f AS (
-  SELECT label, 0::BIGINT AS k, NULL::VARCHAR AS group_id, NULL::VARCHAR AS split, 0.0::DOUBLE AS ha, 0.0::DOUBLE AS hb, 0.0::DOUBLE AS hc FROM t
-  UNION ALL
-  SELECT s.label, s.k, s.group_id, s.split, s.ha + CASE WHEN s.split = 'train' THEN s.n ELSE 0 END, s.hb + CASE WHEN s.split = 'val' THEN s.n ELSE 0 END, s.hc + CASE WHEN s.split = 'test' THEN s.n ELSE 0 END
-  FROM (
-    SELECT g.label, g.k, g.group_id, g.n, f.ha, f.hb, f.hc,
-      CASE WHEN t.a * g.total - f.ha >= t.b * g.total - f.hb AND t.a * g.total - f.ha >= t.c * g.total - f.hc THEN 'train' WHEN t.b * g.total - f.hb >= t.c * g.total - f.hc THEN 'val' ELSE 'test' END AS split
-    FROM f JOIN t ON t.label = f.label JOIN g ON g.label = f.label AND g.k = f.k + 1
-  ) s
-), m AS (SELECT {view}.*, f.split FROM {view} JOIN f ON f.group_id = {view}.group_id)"""
+  SELECT label, list_reduce(list_prepend({{'n': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 's': ''}}, xs),
+    lambda acc, x: CASE WHEN {deficit["a"]} >= {deficit["b"]} AND {deficit["a"]} >= {deficit["c"]} THEN {to["a"]} WHEN {deficit["b"]} >= {deficit["c"]} THEN {to["b"]} ELSE {to["c"]} END).s AS s FROM xs
+), m AS (SELECT {view}.*, CASE substr(f.s, g.k::BIGINT, 1) WHEN 'a' THEN 'train' WHEN 'b' THEN 'val' ELSE 'test' END AS split FROM {view} JOIN g ON g.group_id = {view}.group_id JOIN f ON f.label = g.label)"""
 
 
 _AUDIT = """per AS (
@@ -193,9 +191,9 @@ def redundancy_profile(spark, sf_dir):
     return dedup.redundancy_profile(views.vectors(spark, sf_dir).drop("vector"), (0, 4, 8, 12, 16, 20))
 
 
-@query(f"WITH {views.vectors_sql(32)} SELECT a.path AS path_a, b.path AS path_b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM v a JOIN v b ON a.path < b.path AND bit_count(xor(a.phash, b.phash)) <= 6")
+@query(f"WITH {views.vectors_sql()} SELECT a.path AS path_a, b.path AS path_b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM v a JOIN v b ON a.path < b.path AND bit_count(xor(a.phash, b.phash)) <= 12")
 def hamming_pairs(spark, sf_dir):
-    return dedup.hamming_pairs(views.vectors(spark, sf_dir, 32), 6, bits=32)
+    return dedup.hamming_pairs(views.vectors(spark, sf_dir), 12)
 
 
 @query(
@@ -264,10 +262,9 @@ def qc_sample_1_in_15(spark, sf_dir):
     return frames.systematic(views.events(spark, sf_dir)).select("path")
 
 
-@query(f"WITH {views.EVENTS}, x AS (SELECT * FROM e WHERE frame_index < (group_id::INT % 9) + 1), s AS (SELECT *, max(frame_index) OVER (PARTITION BY group_id) >= 5 AS longer FROM x WHERE frame_index < 31) SELECT path FROM s WHERE NOT longer OR frame_index >= 5")
+@query(f"WITH {views.EVENTS}, s AS (SELECT *, max(frame_index) OVER (PARTITION BY group_id) >= 5 AS longer FROM e WHERE frame_index < 31) SELECT path FROM s WHERE NOT longer OR frame_index >= 5")
 def after_warm_up(spark, sf_dir):
-    e = views.events(spark, sf_dir)
-    return frames.after_warm_up(e.where(F.col("frame_index") < F.col("group_id").cast("int") % 9 + 1)).select("path")
+    return frames.after_warm_up(views.events(spark, sf_dir)).select("path")
 
 
 # ---------------------------------------------------------------- metrics
@@ -423,9 +420,8 @@ def equivalence(spark, sf_dir):
 
 
 @query()
-def spearman_exact_p(spark, sf_dir):
-    r = views.replicates(spark, sf_dir).where("replicate < 32")
-    return rounded(statistics.monotonicity(r, "contrast", "treatment", "control"), "rho", "p_value", "min_achievable_p")
+def spearman_p(spark, sf_dir):
+    return rounded(statistics.monotonicity(views.replicates(spark, sf_dir), "contrast", "treatment", "control"), "rho", "p_value", "min_achievable_p")
 
 
 # ---------------------------------------------------------------- capture quality and sessions
@@ -462,23 +458,23 @@ def progress_vs_target(spark, sf_dir):
     return lookups.progress(views.events(spark, sf_dir), {"normal": 30, "defect": 1000})
 
 
-_PIECES = "p AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ok-' ELSE 'def-' END || lpad(user_id::VARCHAR, 3, '0') AS piece, user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 1000))"
+_PIECES = "p AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ok-' ELSE 'def-' END || printf('%03d', user_id) AS piece, user_id FROM (SELECT DISTINCT user_id FROM events))"
 
 
-@query(f"WITH {_PIECES} SELECT k.prefix, k.prefix || '-' || lpad(coalesce(max(split_part(piece, '-', 2)::INT) + 1, 0)::VARCHAR, 3, '0') AS next_id FROM (VALUES ('ok'), ('def'), ('new')) k(prefix) LEFT JOIN p ON split_part(piece, '-', 1) = k.prefix GROUP BY k.prefix")
+@query(f"WITH {_PIECES} SELECT k.prefix, k.prefix || '-' || printf('%03d', coalesce(max(split_part(piece, '-', 2)::INT) + 1, 0)) AS next_id FROM (VALUES ('ok'), ('def'), ('new')) k(prefix) LEFT JOIN p ON split_part(piece, '-', 1) = k.prefix GROUP BY k.prefix")
 def next_id(spark, sf_dir):
     return lookups.next_ids(_pieces(spark, sf_dir), ["ok", "def", "new"])
 
 
-@query(f"WITH {_PIECES} SELECT piece FROM (SELECT 'ok-' || lpad(x::VARCHAR, 3, '0') AS piece FROM range(0, 200) t(x)) WHERE piece NOT IN (SELECT piece FROM p)")
+@query(f"WITH {_PIECES} SELECT piece FROM (SELECT 'ok-' || printf('%03d', x) AS piece FROM range(0, 2000) t(x)) WHERE piece NOT IN (SELECT piece FROM p)")
 def not_yet_captured(spark, sf_dir):
-    planned = spark.range(200).select(F.concat(F.lit("ok-"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("piece"))
+    planned = spark.range(2000).select(F.format_string("ok-%03d", "id").alias("piece"))
     return lookups.not_yet_captured(planned, _pieces(spark, sf_dir))
 
 
 def _pieces(spark, sf_dir):
-    users = views.table(spark, sf_dir, "events").where("user_id < 1000").select("user_id").distinct()
-    return users.select(F.concat(F.when(F.col("user_id") % 2 == 0, "ok-").otherwise("def-"), F.lpad(F.col("user_id").cast("string"), 3, "0")).alias("piece"))
+    users = views.table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(F.concat(F.when(F.col("user_id") % 2 == 0, "ok-").otherwise("def-"), F.format_string("%03d", "user_id")).alias("piece"))
 
 
 @query("SELECT user_id::VARCHAR AS key, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -550,10 +546,10 @@ def storage_key_guard(spark, sf_dir):
     return spark.createDataFrame([(k,) for k in _KEYS], "key string").select("key", keys.key_is_safe("key").alias("is_safe"))
 
 
-@query(f"WITH {views.vectors_sql(16)} SELECT path, phash::BIGINT AS packed FROM v")
+@query(f"WITH {views.vectors_sql()} SELECT path, CASE WHEN phash >= 9223372036854775808 THEN (phash::HUGEINT - 18446744073709551616)::BIGINT ELSE phash::BIGINT END AS packed FROM v")
 def packed_bits(spark, sf_dir):
     v = views.table(spark, sf_dir, "embeddings")
-    return v.select(F.col("vec_id").cast("string").alias("path"), bits.pack_bits(F.slice(bits.sign_bits("embedding"), 1, 16)).alias("packed"))
+    return v.select(F.col("vec_id").cast("string").alias("path"), bits.pack_bits(bits.sign_bits("embedding")).alias("packed"))
 
 
 @query(f"WITH {views.lines_sql('l_suppkey')}, {_naive('l', 3)} SELECT split, count(*) AS n_frames, count(DISTINCT group_id) AS n_groups FROM m GROUP BY split")

@@ -61,6 +61,6 @@ def test_caps_and_warm_up(frames):
 
 
 def test_config():
-    for bad in ({"min_difference": -1}, {"min_interval": 0}, {"max_interval": 0}, {"thumbnail": 1}):
+    for bad in ({"min_difference": -1}, {"min_interval": 0}, {"max_interval": 0}, {"thumbnail": 7}):
         with pytest.raises(ValueError):
             SamplerConfig(**bad)

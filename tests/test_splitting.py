@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,10 +32,25 @@ def test_naive_split_leaks(frames):
         leakage.assert_clean(splitting.split_naive(frames))
 
 
-def test_several_passes_keep_shares(frames):
-    groups = fr.group_counts(frames.where("label = 'normal'"))
-    to = splitting.assign(groups, {"train": 0.5, "val": 0.25, "test": 0.25}, seed=1, per_pass=12)
-    assert to.count() == 30 and to.select("group_id").distinct().count() == 30
+def test_assignment_is_the_greedy_rule(spark):
+    """Against the rule in plain Python, on groups of unequal size."""
+    sizes = {f"g{i}": 1 + i * 7 % 23 for i in range(500)}
+    goal = {"train": 0.5, "val": 0.25, "test": 0.25}
+    groups = spark.createDataFrame(list(sizes.items()), "group_id string, n_frames long")
+    got = {r["group_id"]: r["split"] for r in splitting.assign(groups, goal, seed=1).collect()}
+    total, held, want = sum(sizes.values()), dict.fromkeys(goal, 0), {}
+    for g in sorted(sizes, key=lambda g: (hashlib.sha256(f"1:{g}".encode()).hexdigest(), g)):
+        s = max(goal, key=lambda s: goal[s] * total - held[s])
+        want[g], held[s] = s, held[s] + sizes[g]
+    assert got == want
+    assert splitting.assign(groups.limit(0), goal, seed=1).isEmpty()
+
+
+def test_defect_fraction(frames):
+    for split in (splitting.split_by_group, splitting.split_naive):
+        for bad in (-0.1, 1.5):
+            with pytest.raises(ValueError, match="defect_val_fraction"):
+                split(frames, defect_val_fraction=bad)
 
 
 def test_too_few_groups(frames):
@@ -55,8 +72,9 @@ def test_ratios():
 def test_row_constraints(spark, frames):
     bad = spark.createDataFrame([("p", "", "normal", "v", 0, 0.0), ("q", "g", "other", "v", -1, -1.0)], frames.schema)
     assert {len(r["violations"]) for r in fr.invalid(bad).collect()} == {1, 3}
-    with pytest.raises(Exception, match="group_id"):
-        fr.checked(bad).collect()
+    for row, says in (("p", "group_id"), ("q", "label")):
+        with pytest.raises(Exception, match=says):
+            fr.checked(bad.where(f"path = '{row}'")).collect()
     mixed = frames.withColumn("label", F.when(F.col("frame_index") == 0, "defect").otherwise(F.col("label")))
     with pytest.raises(Exception, match="more than one label"):
         fr.consistent_groups(mixed).collect()
