@@ -346,6 +346,54 @@ def test_language_odd_rows(docs_of, odd_rows):
     assert {r["lang_pred"] for r in langid.predict(d, none).collect()} == {"und"}
 
 
+def brute_grams(text):
+    """Character n-grams of 1 to 4 code points by string operations, as bucket counts."""
+    import unicodedata
+
+    plain = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in f" {text.lower()} ")
+    plain = re.sub(" +", " ", plain)
+    out = Counter()
+    for n in langid.ORDERS:
+        for i in range(len(plain) - n + 1):
+            h = sum((ord(c) + 1) * int(m) for c, m in zip(plain[i : i + n], langid._MULTIPLIERS, strict=False)) % (1 << 32)
+            out[(((h ^ (h >> 15)) * (0x2C1B3C6D + 2 * n)) % (1 << 32)) >> (32 - langid.BITS)] += 1
+    return out
+
+
+def test_language_against_brute_force(docs_of):
+    texts = ["The cat sat on 12 mats.", "Straße und Ärger, İstanbul", "हिन्दी में", "le chat s'est assis", "²½① x", "  ", "a"]
+    for t in texts:
+        assert {k: int(n) for k, n in enumerate(langid.buckets(t)) if n} == dict(brute_grams(t))
+    learnt = [("the cat and the dog sat on the mat", "en"), ("le chat et le chien sont assis sur le tapis", "fr"), ("der hund und die katze", "de"), ("the house", "en"), (None, "en"), ("12", "xx")]
+    docs = docs_of([(i, t, x) for i, (t, x) in enumerate(learnt)])
+    totals, n = defaultdict(Counter), Counter()
+    for t, x in learnt:
+        if t and any(c.isalpha() for c in t):
+            totals[x] += brute_grams(t)
+            n[x] += 1
+    model = langid.fit(docs)
+    assert model.languages == ["de", "en", "fr"]
+    asked = docs_of([*texts, "²½① 12", None, "the dog", "un chien", "eine katze " * 5_000])
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked, model).collect()}
+    for t, (lang, score) in got.items():
+        if not t or not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        c = brute_grams(t)
+        size = 1 << langid.BITS
+        x = {l: sum(k * np.log((totals[l][b] + langid.SMOOTHING) / (totals[l].total() + langid.SMOOTHING * size)) for b, k in c.items()) * min(1, langid.EVIDENCE / c.total()) + np.log(n[l] / n.total()) for l in totals}
+        assert lang == max(sorted(x), key=x.get)
+        assert score == pytest.approx(1 / sum(np.exp(v - x[lang]) for v in x.values()), rel=1e-4)
+
+
+def test_language_columns_may_clash(docs_of):
+    docs = docs_of(["the cat", None]).withColumn("lang_pred", F.lit("old")).withColumn("Score", F.lit(9)).withColumn("found", F.lit(1))
+    got = langid.predict(docs, langid.fit(docs))
+    assert sorted(got.columns) == ["doc_id", "found", "lang", "lang_pred", "n_chars", "score", "source", "text"]
+    assert {r["lang_pred"] for r in got.collect()} == {"en", "und"} and got.count() == 2
+    assert langid.predict(docs.limit(0), langid.fit(docs)).isEmpty()
+
+
 def test_buckets_do_not_depend_on_pieces(monkeypatch):
     text = "Straße und Ärger, " * 50
     whole = langid.buckets(text)
