@@ -191,9 +191,9 @@ def redundancy_profile(spark, sf_dir):
     return dedup.redundancy_profile(views.vectors(spark, sf_dir).drop("vector"), (0, 4, 8, 12, 16, 20))
 
 
-@query(f"WITH {views.vectors_sql()} SELECT a.path AS path_a, b.path AS path_b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM v a JOIN v b ON a.path < b.path AND bit_count(xor(a.phash, b.phash)) <= 12")
+@query(f"WITH {views.vectors_sql()} SELECT a.path AS path_a, b.path AS path_b, bit_count(xor(a.phash, b.phash))::INT AS distance FROM v a JOIN v b ON a.path < b.path AND bit_count(xor(a.phash, b.phash)) <= 16")
 def hamming_pairs(spark, sf_dir):
-    return dedup.hamming_pairs(views.vectors(spark, sf_dir), 12)
+    return dedup.hamming_pairs(views.vectors(spark, sf_dir), 16)
 
 
 @query(
