@@ -8,12 +8,16 @@ replaced by <num>, <unit> and <name>; their own strings are the slot values.
 Every `window` words are a window. The benchmark's windows, once as they stand and once as templates, are
 hashed; template windows with fewer than `min_plain` words that are no slot are left out, as they say too
 little. A document's windows of both kinds are looked up by hash. An item's contamination is the share of
-its windows found in the document: literal (`literal`), or templates (`template`).
+its words that lie in windows found in the document: literal (`literal`), or as templates (`template`, of the words
+that lie in any template window). So a changed word costs one word, not the `window` windows that hold it; at
+least `least_windows` of the windows must be found as well.
 
 Slot consistency: where an item's template is found but its words are not, the matched windows give pairs
-(the item's slot value, the document's). The pairs are consistent if the item's values map to one value each
-(the share of pairs that agree with the commonest image of their value is `consistency`). A document is a
-leak of an item if literal >= threshold, or if template >= threshold and consistency >= threshold.
+(the item's slot value, the document's); of several places that match an item's window the one counts that is in line
+with most others (ties: the first). The pairs are consistent if values map one to one: `consistency` is the
+share of pairs whose second is the commonest image of the first and whose first is the commonest origin of the
+second. A document is a leak of an item if literal >= threshold, or if template >= threshold and
+consistency >= threshold.
 
 An item of fewer than `window` words is one window of all its words (of at least three words; shorter items
 can't be told from chance and never match). Each document is one row of a scan: no document text is
@@ -21,8 +25,13 @@ shuffled. The benchmark's windows go to the executors as a sorted hash table if
 `broadcast_bytes`; beyond that, the hashes are dealt to tasks and joined to the documents' window hashes,
 and only matches come back.
 
-Null texts match nothing; rows with a null item_id are left out; equal rows give equal results; empty tables
-give empty results; extra columns are ignored.
+Units are those of UNITS in the corpus's languages (English, German, French, Spanish). German capitalises nouns, so
+there more words are slots; min_plain then leaves more windows out, and an item all of whose windows are left out is
+found by its words alone.
+
+Null texts match nothing; rows with a null item_id are left out; rows of one item_id with different texts are all
+looked for, and the best counts; equal rows give equal results; empty tables give empty results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +51,19 @@ from .common import require, staged
 WINDOW = 5
 MIN_PLAIN = 3
 THRESHOLD = 0.8
+LEAST_WINDOWS = 0.5
 BROADCAST_BYTES = 64 << 20
 
 # Unit words that stand for a measure when a number comes before them.
-UNITS = frozenset("mm cm m km in ft mi mg g kg t oz lb ml l s sec second seconds min minute minutes h hour hours day days week weeks month months year years meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph".split())
+UNITS = frozenset(
+    (
+        "mm cm m km in ft mi mg g kg t oz lb ml l s sec h kmh mph "
+        "second seconds min minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents percent degree degrees "
+        "sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren meilen gramm kilogramm kilo pfund prozent grad "
+        "seconde secondes heure heures jour jours semaine semaines mois an ans année années mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes livre livres degré degrés "
+        "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos kilos litro litros dólar dólares céntimo céntimos grado grados"
+    ).split()
+)
 _EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…-–—"
 _NUM, _UNIT, _NAME = "<num>", "<unit>", "<name>"
 _BASE = np.array([0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0x165667B19E3779F9 | 1, 0xD6E8FEB86659FD93 | 1, 0xFF51AFD7ED558CCD | 1, 0xC4CEB9FE1A85EC53 | 1, 0xBF58476D1CE4E5B9 | 1, 0x94D049BB133111EB | 1], np.uint64)
@@ -128,22 +146,31 @@ def item_windows(text: str | None, window: int, min_plain: int) -> Iterator[tupl
 
 
 class Index:
-    """A benchmark's windows, sorted by hash: what is broadcast."""
+    """A benchmark's windows, sorted by hash: what is broadcast. items: (item_id, text), each an item of its own."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int, int]], texts: dict[int, str]) -> None:
-        rows.sort()
+    def __init__(self, items: list[tuple[int, str]], window: int, min_plain: int, least_windows: float) -> None:
+        self.ids, self.least = [i for i, _ in items], least_windows
+        rows = sorted((h, kind, n, k, at) for k, (_, t) in enumerate(items) for h, kind, n, at in item_windows(t, window, min_plain))
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.kind, self.size, self.item, self.at = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
         self.sizes = sorted(set(self.size.tolist()))
-        self.total = Counter((r[3], r[1]) for r in {(r[0], r[1], 0, r[3]) for r in rows})
-        self.parsed = {i: parse(t, Words()) for i, t in texts.items()}
+        self.parsed = [parse(t, Words()) for _, t in items]
+        every: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+        for _, kind, n, k, at in rows:
+            every[k, kind].add((at, n))
+        self.total = {key: (len(x), len(_covered(x))) for key, x in every.items()}
+
+    def _shares(self, key: tuple[int, int], found: set[tuple[int, int]]) -> float:
+        """The share of words that lie in found windows; 0 if too few of the windows are found."""
+        windows, words = self.total.get(key, (0, 0))
+        return len(_covered(found)) / words if words and len(found) >= self.least * windows else 0.0
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, float, float, int]]:
-        """(item, literal, template, consistency, windows found) for each item that the text leaks."""
+        """(item_id, literal, template, consistency, windows found) for each item that the text leaks."""
         if not len(self.hash) or not text:
             return []
         plain, own, template, _ = parse(text)
-        found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        found: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
         places: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for n in self.sizes:
             for kind, h in ((0, own), (1, template)):
@@ -157,45 +184,60 @@ class Index:
                     while k < len(self.hash) and self.hash[k] == w[p]:
                         if self.kind[k] == kind and self.size[k] == n:
                             item = int(self.item[k])
-                            found[item, kind].add(int(w[p]))
+                            found[item, kind].add((int(self.at[k]), n))
                             if kind:
                                 places[item].append((p, int(self.at[k]), n))
                         k += 1
-        out = []
+        out: dict[int, tuple[int, float, float, float, int]] = {}
         for item in sorted({i for i, _ in found}):
-            literal, form = (len(found[item, kind]) / max(1, self.total[item, kind]) for kind in (0, 1))
+            literal, form = (self._shares((item, kind), found[item, kind]) for kind in (0, 1))
+            if literal < threshold and form < threshold:
+                continue
             agree = self.consistency(item, plain, places[item])
-            if literal >= threshold or form >= threshold and agree >= threshold:
-                out.append((item, literal, form, agree, len(found[item, 0] | found[item, 1])))
-        return out
+            if literal >= threshold or agree >= threshold:
+                made = (self.ids[item], literal, form, agree, len(found[item, 0] | found[item, 1]))
+                out[made[0]] = max(out.get(made[0], made), made)
+        return list(out.values())
 
     def consistency(self, item: int, plain: list[str], places: list[tuple[int, int, int]]) -> float:
         words, _, _, slot = self.parsed[item]
-        pairs = {(at + j, p + j) for p, at, n in places for j in range(n) if slot[at + j]}
-        images: dict[str, Counter] = defaultdict(Counter)
-        for a, b in pairs:
-            images[words[a]][plain[b]] += 1
-        return sum(max(c.values()) for c in images.values()) / len(pairs) if pairs else 1.0
+        shift = Counter(p - at for p, at, _ in places)
+        best: dict[int, tuple[int, int, int]] = {}
+        for p, at, n in places:
+            best[at] = max(best.get(at, (-1, 0, 0)), (shift[p - at], -p, n))
+        pairs = {(at + j, j - p) for at, (_, p, n) in best.items() for j in range(n) if slot[at + j]}
+        values = [(words[a], plain[b]) for a, b in pairs]
+        images, origins = defaultdict(Counter), defaultdict(Counter)
+        for a, b in values:
+            images[a][b] += 1
+            origins[b][a] += 1
+        # ties of the commonest go to the smallest, both ways
+        image, origin = ({x: min(c, key=lambda y: (-c[y], y)) for x, c in of.items()} for of in (images, origins))  # noqa: B023
+        return sum(image[a] == b and origin[b] == a for a, b in values) / len(values) if values else 1.0
+
+
+def _covered(windows_: set[tuple[int, int]]) -> set[int]:
+    """Places of the words in windows (first, size)."""
+    return {j for at, n in windows_ for j in range(at, at + n)}
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("literal", pa.float64()), ("template", pa.float64()), ("consistency", pa.float64()), ("n_windows", pa.int64())])
 _FOUND_SQL = "doc_id long, item_id long, literal double, template double, consistency double, n_windows long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_plain: int = MIN_PLAIN, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_plain: int = MIN_PLAIN, threshold: float = THRESHOLD, least_windows: float = LEAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, literal, template, consistency, n_windows: a row for each document row and each
     item that it leaks."""
     require(docs, "doc_id", "text")
     require(benchmark, "item_id", "text")
     spark = docs.sparkSession
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     items = staged(items, "benchmark")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") * 16), F.lit(0))).first()[0]  # 2 windows a word, 40 bytes each
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if size > broadcast_bytes:
-        return _by_shuffle(small, items, window, min_plain, threshold)
-    texts = {r["item_id"]: r["text"] for r in items.collect()}  # under broadcast_bytes
-    index = Index([(h, kind, n, i, at) for i, t in texts.items() for h, kind, n, at in item_windows(t, window, min_plain)], texts)
+        return _by_shuffle(small, items, window, min_plain, threshold, least_windows)
+    index = Index(sorted((r["item_id"], r["text"]) for r in items.collect()), window, min_plain, least_windows)  # under broadcast_bytes
     held = spark.sparkContext.broadcast(index)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +249,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_pl
     return small.where(F.col("text").isNotNull()).mapInArrow(look, _FOUND_SQL)
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, min_plain: int, threshold: float) -> DataFrame:
+def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, min_plain: int, threshold: float, least_windows: float) -> DataFrame:
     """As leaks, for a benchmark too large to be broadcast: documents' window hashes are joined to the
     items', candidates (document, item) with any common window are verified on their two texts."""
 
@@ -227,15 +269,18 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, min_plain: int,
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, t, i, own in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                index = Index([(h, kind, n, i, at) for h, kind, n, at in item_windows(own, window, min_plain)], {i: own})
-                rows += [(d, *m) for m in index.matches(t, threshold)]
+            for row, d, t, i, own in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                rows += [(row, d, *m) for m in Index([(i, own)], window, min_plain, least_windows).matches(t, threshold)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _FOUND.types, strict=True)], schema=_FOUND)
+                kinds = [pa.int64(), *_FOUND.types]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", *_FOUND.names])
 
     # row numbers stand for documents in the join, as doc_id may repeat or be null; written once, so they stay
     rows = staged(docs.where(F.col("text").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
-    own = items.mapInArrow(hashes, "id long, h long").withColumnRenamed("id", "item_id")
-    met = rows.select("row", "text").mapInArrow(doc_hashes, "id long, h long").join(own, "h").select(F.col("id").alias("row"), "item_id").distinct()
-    pairs = met.join(rows, "row").join(items.withColumnRenamed("text", "item_text"), "item_id")
-    return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(verify, _FOUND_SQL)
+    items = items.select(F.xxhash64("item_id", "text").alias("key"), "item_id", F.col("text").alias("item_text"))
+    own = items.select("key", "item_text").mapInArrow(hashes, "id long, h long").withColumnRenamed("id", "key")
+    met = rows.select("row", "text").mapInArrow(doc_hashes, "id long, h long").join(own, "h").select(F.col("id").alias("row"), "key").distinct()
+    pairs = met.join(rows, "row").join(items, "key")
+    found = pairs.select("row", "doc_id", "text", "item_id", "item_text").mapInArrow(verify, "row long, " + _FOUND_SQL)
+    best = found.groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("literal", "template", "consistency", "n_windows")).alias("x"))
+    return best.select("doc_id", "item_id", "x.*")

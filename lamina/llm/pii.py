@@ -7,18 +7,23 @@ Base spans, leftmost and non-overlapping for each kind, matches that fail their
     phone  \+[0-9][\x20().0-9-]+[0-9]                   10 to 15 digits
 The scanners below take time in proportion to the text's length, whatever it holds.
 
-Model: tokens are words; those without a digit, @ or + are labelled "outside" for certain, so a document's
-chain falls into runs of the other tokens (candidates). Labels are outside, and begin and inside of each
-kind. Chain potentials are a linear-chain CRF over features of a candidate and its neighbours. Skip edges
-link each candidate to the one before it, however far, that has the same normal form (lower case, without
-edge punctuation) or the same digits (six or more): they reward equal kinds. Where there are skip edges the
-graph has loops; messages are passed along all edges in turn (damped on skip edges) until they settle, so
-that what one mention makes certain reaches the others of its document.
-
-Training: the base spans label the documents. The CRF is fitted on a sample of at most 2 * `sample`
-documents by hash of doc_id (their first `sample_runs` runs of candidates each), by maximum likelihood with
-an L2 penalty; the skip weight is the log odds that linked candidates of the sample agree, at least 1 (repeats
-that the patterns miss count as disagreement there). Inference covers every token of every document.
+Model: tokens are words; those without a digit, @, + or a written-out (at) are labelled "outside" for certain, so a
+document's chain falls into runs of the other tokens (candidates). Labels are outside, and begin and inside of each
+kind. Chain potentials are a linear-chain CRF over features of a candidate and its neighbours. Skip edges link mentions,
+however far apart, that are the same or similar: the same word (lower case, without edge punctuation), the same
+address however its @ and dots are written, the same four numbers, the same digits (seven or more, of a token, of a
+whole run or of a base span), or the same last seven digits. Each mention is linked to the one before it; the edges
+reward equal kinds. Where there are skip edges the graph has loops; messages are passed along all edges in turn (damped
+on skip edges) until they settle. Tokens of base spans have their labels for certain, and so what one mention makes
+certain reaches the others of its document.
+
+Training: the base spans label the documents. The patterns can't say what a mention without its mark is (a phone number
+without +, an address with (at), a card with dots), so such mentions are not taught as outside: runs that a skip edge
+links to a base span are left out, and each base span is seen again without its mark, as its kind with weight
+UNMARKED and as outside with the rest. Alone such a mention stays outside, linked to a sure one it doesn't. The CRF is
+fitted on a sample of at most `sample` documents, those of smallest hash of doc_id (their first `sample_runs` runs of
+candidates each, long runs in pieces of RUN_PIECE), by maximum likelihood with an L2 penalty; the skip weight is the log
+odds that linked base spans agree in kind, at least SKIP_LEAST. Inference covers every token of every document.
 
 An added span holds tokens of one kind, each with a marginal of at least `threshold`, what that kind can't do
 without (an email an @; an ip four numbers; a card 12 to 19 digits; a phone 7 to 15), and overlaps no base span.
@@ -45,8 +50,11 @@ KINDS = ("email", "ip", "card", "phone")
 N_LABELS = 1 + 2 * len(KINDS)
 SAMPLE = 4_000
 SAMPLE_RUNS = 40
-RUN_MAX = 16
+RUN_PIECE = 16
+UNMARKED = 0.2
+SKIP_LEAST, SKIP_MOST = 4.0, 8.0
 THRESHOLD = 0.8
+SURE = 20.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -54,7 +62,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(WORD)
-_HINT = re.compile(r"[0-9@+]")
+_HINT = re.compile(r"[0-9@+]|[(\[](?:at|AT)[)\]]")
+_WRITTEN_AT, _WRITTEN_DOT = re.compile(r"[(\[]at[)\]]"), re.compile(r"[(\[](?:dot|\.)[)\]]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'<[{,;:.!?|", "\"'>]}),;:.!?|"
 
@@ -143,9 +152,11 @@ def features(tokens: list[Token]) -> list[list[str]]:
     out = []
     for i, t in enumerate(tokens):
         n, core = len(t.digits), t.core
-        f = ["", "s" + shapes[i], f"n{min(n, 20)}"]
+        f = ["", "s" + shapes[i], f"n{min(n, 20)}", f"c{(n >= 7) + (n >= 10) + (n >= 14)}"]
         f.append("p" + (shapes[i - 1] if i and tokens[i - 1].run == t.run else ""))
         f.append("x" + (shapes[i + 1] if i + 1 < len(tokens) and tokens[i + 1].run == t.run else ""))
+        if _WRITTEN_AT.search(core.lower()):
+            f.append("@w")
         if "@" in core:
             f.append("@" + ("1" if any(k == 0 for _, k, _ in base_spans(core)) else "0"))
         if core.count(".") == 3 and (m := _IP.fullmatch(core)):
@@ -173,17 +184,46 @@ def gold(tokens: list[Token], spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
-def skip_edges(tokens: list[Token]) -> list[tuple[int, int]]:
-    """Each token to the one before it with the same form, or with the same digits; not to its neighbour."""
+def address(core: str) -> str:
+    """An address with its @ and dots as signs."""
+    return _WRITTEN_DOT.sub(".", _WRITTEN_AT.sub("@", core.lower()))
+
+
+def _digit_keys(digits: str) -> list[str]:
+    return ["d" + digits, "t" + digits[-7:]] if 7 <= len(digits) <= 15 else ["d" + digits] if 7 <= len(digits) <= 24 else []
+
+
+def skip_edges(tokens: list[Token], y: np.ndarray) -> list[tuple[int, int]]:
+    """Each mention to the one before it that is the same or similar; not a token to its neighbour. y: the labels of
+    tokens in base spans, 0 elsewhere. A mention of several tokens is linked by its first."""
+    mentions: dict[int, list[str]] = {}
+    for i, t in enumerate(tokens):
+        keys = mentions.setdefault(i, [])
+        if len(t.core) > 3:
+            keys.append("w" + t.core.lower())
+        if "@" in t.core or _WRITTEN_AT.search(t.core.lower()):
+            keys.append("@" + address(t.core))
+        if len(numbers := re.findall(r"[0-9]+", t.core)) == 4:
+            keys.append("g" + ".".join(numbers))
+        keys += _digit_keys(t.digits)
+    i = 0
+    while i < len(tokens):  # base spans, and runs that hold none, by all their digits
+        j = i + 1
+        if y[i]:
+            while j < len(tokens) and tokens[j].run == tokens[i].run and y[j] and y[j] % 2 == 0:
+                j += 1
+        else:
+            while j < len(tokens) and tokens[j].run == tokens[i].run and not y[j] and sum(len(t.digits) for t in tokens[i:j]) < 24:
+                j += 1
+        if j > i + 1:
+            mentions[i] += _digit_keys("".join(t.digits for t in tokens[i:j]))
+        i = j
     last: dict[str, int] = {}
     out = set()
-    for i, t in enumerate(tokens):
-        keys = ["w" + t.core.lower()] if len(t.core) > 3 else []
-        if len(t.digits) >= 6:
-            keys.append("d" + t.digits)
+    for i, keys in mentions.items():
         for key in keys:
-            if key in last and (last[key] < i - 1 or tokens[last[key]].run != t.run):
-                out.add((last[key], i))
+            if (k := last.get(key)) is not None and (k < i - 1 or tokens[k].run != tokens[i].run):
+                out.add((k, i))
             last[key] = i
     return sorted(out)
 
@@ -249,15 +289,17 @@ class Crf:
     def added(self, docs: list[list[Token]], bases: list[list[tuple[int, int, int]]], threshold: float) -> list[list[tuple[int, int, int]]]:
         """Spans beyond the base ones; documents are parts of one graph without edges between them."""
         theta, chain, skips, at = [], [], [], 0
-        for tokens in docs:
+        for tokens, base in zip(docs, bases, strict=True):
             if tokens:
                 u = self.unary(tokens)
+                y = gold(tokens, base)
+                u[np.nonzero(y)[0], y[y > 0]] += SURE
                 run = np.array([t.run for t in tokens])
                 joins = np.nonzero(run[1:] == run[:-1])[0]
                 u[np.setdiff1d(np.arange(len(tokens)), joins + 1)] += _START
                 theta.append(u)
                 chain.append(np.stack([joins, joins + 1], 1) + at)
-                skips += [(i + at, j + at) for i, j in skip_edges(tokens)]
+                skips += [(i + at, j + at) for i, j in skip_edges(tokens, y)]
                 at += len(tokens)
         if not at:
             return [[] for _ in docs]
@@ -282,7 +324,7 @@ def _spans(tokens: list[Token], label: np.ndarray, sure: np.ndarray, base: list[
             j += 1
         a, b, n = tokens[i].begin, tokens[j - 1].end, sum(len(t.digits) for t in tokens[i:j])
         whole = (
-            any("@" in t.core for t in tokens[i:j]) if k == 0 else len(re.findall(r"[0-9]+", tokens[i].core)) == 4 if k == 1 else 12 <= n <= 19 if k == 2 else 7 <= n <= 15
+            j == i + 1 and _DOMAIN.search(address(tokens[i].core).partition("@")[2]) is not None if k == 0 else len(re.findall(r"[0-9]+", tokens[i].core)) == 4 if k == 1 else 12 <= n <= 19 if k == 2 else 7 <= n <= 15
         )
         if whole and sure[i:j, k].min() >= threshold and not any(x < b and a < y for x, _, y in base):
             out.append((a, k, b))
@@ -290,12 +332,27 @@ def _spans(tokens: list[Token], label: np.ndarray, sure: np.ndarray, base: list[
     return out
 
 
-def train(samples: list[list[tuple[list[str], int]]], agree: int, differ: int, *, rounds: int = 150, l2: float = 1e-3, rate: float = 0.1) -> Crf:
-    """Maximum likelihood on runs of (features, label), by Adam over the whole sample."""
+def unmarked(tokens: list[Token], kind: int) -> list[list[Token]]:
+    """A base span's tokens as they might stand without the mark by which the pattern knows them: ways to write them."""
+    cores = [t.core for t in tokens]
+    if kind == 0:
+        ways = [[c.replace("@", "(at)") for c in cores]]
+    elif kind == 1:
+        ways = [[c.replace(".", "[.]") for c in cores]]
+    elif kind == 2:
+        ways = [[".".join(cores)]]
+    else:
+        ways = [[c.lstrip("+") for c in cores], [_digits("".join(cores))], ["0" + _digits("".join(cores))[2:]]]
+    return [[Token(0, c, 0) for c in way if c] for way in ways]
+
+
+def train(samples: list[tuple[list[tuple[list[str], int]], float]], agree: int, differ: int, *, rounds: int = 150, l2: float = 1e-3, rate: float = 0.1) -> Crf:
+    """Maximum likelihood on runs of (features, label) with weights, by Adam over the whole sample."""
+    weights, samples = np.array([w for _, w in samples]), [run for run, _ in samples]
     index = {f: i for i, f in enumerate(sorted({f for run in samples for fs, _ in run for f in fs}))}
     allowed = _allowed()
     w, t = np.zeros((len(index), N_LABELS)), np.zeros((N_LABELS, N_LABELS))
-    skip = float(np.clip(np.log((agree + 1) / (differ + 1)), 1.0, 4.0))
+    skip = float(np.clip(np.log((agree + 1) / (differ + 1)), SKIP_LEAST, SKIP_MOST))
     if not samples or not any(y for run in samples for _, y in run):
         w = np.zeros((max(1, len(index)), N_LABELS))
         w[index.get("", 0), 0] = 10.0  # nothing was labelled: all is outside
@@ -308,7 +365,7 @@ def train(samples: list[list[tuple[list[str], int]]], agree: int, differ: int, *
         for j, (fs, label) in enumerate(run):
             feats[i, j, : len(fs)] = [index[f] for f in fs]
             y[i, j], mask[i, j] = label, True
-    total = mask.sum()
+    total = (mask * weights[:, None]).sum()
     one = np.eye(N_LABELS)[y] * mask[..., None]
     pair = one[:, :-1, :, None] * one[:, 1:, None, :]
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
@@ -328,11 +385,11 @@ def train(samples: list[list[tuple[list[str], int]]], agree: int, differ: int, *
             b[:, j] = np.where(mask[:, j + 1, None], nxt, 0.0)
         p = np.exp(f + b - z[:, None, None]) * mask[..., None]
         both = np.exp(f[:, :-1, :, None] + tr + (u[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        gu = p - one
+        gu = (p - one) * weights[:, None, None]
         gw = np.zeros((len(index) + 1, N_LABELS))
         np.add.at(gw, feats.reshape(-1), np.repeat(gu.reshape(-1, N_LABELS), width, axis=0))
         gw = gw[:-1] / total + l2 * w
-        gt = (both - pair).sum(axis=(0, 1)) / total + l2 * t
+        gt = ((both - pair) * weights[:, None, None, None]).sum(axis=(0, 1)) / total + l2 * t
         for x, g, a, v in ((w, gw, moments[0], moments[1]), (t, gt, moments[2], moments[3])):
             a *= 0.9
             a += 0.1 * g
@@ -345,8 +402,12 @@ def train(samples: list[list[tuple[list[str], int]]], agree: int, differ: int, *
 def fit(docs: DataFrame, *, sample: int = SAMPLE, sample_runs: int = SAMPLE_RUNS) -> Crf:
     """Learn from a bounded sample of docs (doc_id, text) that their base spans label."""
     require(docs, "doc_id", "text")
-    share = min(1.0, sample / max(1, docs.count()))
-    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").limit(2 * sample)
+    n = docs.count()
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    few = docs.select(h.alias("h"), "text")
+    if n > 2 * sample:  # the smallest hashes are among those under a bound that about twice as many keep
+        few = few.where(F.col("h") < int(2 * sample / n * 2**63))
+    few = few.orderBy("h", F.xxhash64("text"), "text").limit(sample).select("text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,16 +417,29 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, sample_runs: int = SAMPLE_RUNS
                 tokens = candidates(text)
                 if not tokens:
                     continue
-                y = gold(tokens, base_spans(text))
+                base = base_spans(text)
+                y = gold(tokens, base)
                 kind = (y + 1) // 2
-                for i, j in skip_edges(tokens):
-                    if kind[i] or kind[j]:
+                unsure = set()
+                for i, j in skip_edges(tokens, y):
+                    if kind[i] and kind[j]:
                         agree, differ = agree + int(kind[i] == kind[j]), differ + int(kind[i] != kind[j])
+                    elif kind[i] or kind[j]:
+                        unsure.add(tokens[i if kind[j] else j].run)
                 upto = next((i for i, t in enumerate(tokens) if t.run >= sample_runs), len(tokens))
                 by_run: dict[int, list] = {}
                 for t, f, label in zip(tokens[:upto], features(tokens[:upto]), y.tolist(), strict=False):
                     by_run.setdefault(t.run, []).append((f, label))
-                runs += [r[:RUN_MAX] for r in by_run.values()]
+                runs += [(r[k : k + RUN_PIECE], 1.0) for x, r in by_run.items() if x not in unsure for k in range(0, len(r), RUN_PIECE)]
+                for i in np.nonzero(y[:upto] % 2)[0].tolist():
+                    j = i + 1
+                    while j < upto and y[j] == y[i] + 1 and tokens[j].run == tokens[i].run:
+                        j += 1
+                    k = int(kind[i]) - 1
+                    for way in unmarked(tokens[i:j], k):
+                        bare = features(way)[:RUN_PIECE]
+                        runs.append(([(f, 1 + 2 * k + (m > 0)) for m, f in enumerate(bare)], UNMARKED))
+                        runs.append(([(f, 0) for f in bare], 1.0 - UNMARKED))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((runs, agree, differ))])], names=["made"])
 
     got = [pickle.loads(r["made"]) for r in few.mapInArrow(extract, "made binary").collect()]  # noqa: S301  our own bytes

@@ -178,6 +178,31 @@ def test_pii_query(spark, small):
         assert set(pii.written([b]) for b in base) <= set(every) and len(every) == len(base) + r["n_added"]
 
 
+def test_mentions_without_their_mark(docs_of):
+    """What a base span says reaches the same number or address written otherwise; unrelated numbers stay outside."""
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for d in range(400):
+        a, b, c = (int(x) for x in rng.integers(10**6, 10**7, 3))
+        phone, other = f"+49 {170 + d % 9} {a}", f"{rng.integers(10**11, 10**12)}"
+        text = f"Call {phone} on day {d % 30} of 2024 for {b % 900} pieces of lot {other}."
+        if d % 4 == 1:
+            at = text + " Later she rang "
+            text, want[d] = f"{at}0{170 + d % 9}{a} once more.", ("phone", len(at), len(at) + 11)
+        if d % 4 == 2:
+            at = f"Write to user{c}@mail{d}.example.com about {b} or to "
+            text, want[d] = f"{at}user{c}(at)mail{d}.example.com soon.", ("email", len(at), len(at) + len(f"user{c}(at)mail{d}.example.com"))
+        rows.append((d, text))
+    docs = docs_of(rows)
+    got = {r["doc_id"]: r for r in pii.find(docs, pii.fit(docs)).collect()}
+    for d, r in got.items():
+        base = set(filter(None, pii.written(pii.base_spans(rows[d][1])).split(",")))
+        added = set(filter(None, r["spans"].split(","))) - base
+        assert added == ({"{}:{}:{}".format(*want[d])} if d in want else set()) and r["n_added"] == len(added), (rows[d], added)
+    rerun = {r["doc_id"]: r["spans"] for r in pii.find(docs.repartition(7), pii.fit(docs.repartition(5))).collect()}
+    assert rerun == {d: r["spans"] for d, r in got.items()}
+
+
 def test_pii_odd_rows(docs_of, odd_rows):
     d = docs_of(odd_rows)
     got = pii.find(d, pii.fit(d)).collect()
@@ -423,21 +448,78 @@ def test_inconsistent_slots_are_no_leak(spark, docs_of):
     assert [r["doc_id"] for r in decontam.leaks(docs, bench).collect()] == [0]
 
 
-def test_leak_query_against_brute_force(spark, small):
-    def words(t):
-        return [w for w in (x.strip(decontam._EDGE).lower() for x in t.split()) if w]
-
-    bench = {i: words(t) for i, t in rows_of(small, "benchmark")}
-    want = set()
-    for d, t in rows_of(small, "documents", "doc_id, text"):
-        w = words(t)
-        seen = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        for i, b in bench.items():
-            own = {tuple(b[k : k + 5]) for k in range(len(b) - 4)}
-            if own and len(own & seen) >= 0.8 * len(own):
-                want.add((d, i))
-    got = {(r["doc_id"], r["item_id"]) for r in q.op9_template_decontamination(spark, small).collect() if r["literal"] >= 0.8}
-    assert got == want
+def test_slots_map_one_to_one(spark, docs_of):
+    """Values may change, but two may not become one, nor one two."""
+    item = "first take 5 then take 6 then take 7 then take 8 and say which is the most of all"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = docs_of([re.sub("[5-8]", lambda m: {"5": "11", "6": "12", "7": "13", "8": "14"}[m[0]], item), re.sub("[5-8]", "9", item)])
+    assert [(r["doc_id"], r["consistency"]) for r in decontam.leaks(docs, bench).collect()] == [(0, 1.0)]
+
+
+def test_edited_quotation_and_items_of_one_id(spark, docs_of):
+    item = "the old miller counted every single sack of grain before the long winter came over the quiet valley again"
+    bench = spark.createDataFrame([(1, item), (1, "an altogether different text of the same item that nobody has quoted yet"), (1, item)], "item_id long, text string").withColumn("doc_id", F.lit(3))
+    docs = docs_of([item.replace("sack", "bag"), item.replace("sack", "bag").replace("winter", "summer").replace("old", "new"), " ".join(reversed(item.split())), ("word " * 40_000) + item])
+    for size in (decontam.BROADCAST_BYTES, 0):
+        got = decontam.leaks(docs.withColumn("item_id", F.lit(7)).withColumn("row", F.lit(1)), bench, broadcast_bytes=size)
+        assert sorted(r["doc_id"] for r in got.collect()) == [0, 3]
+
+
+def brute_leaks(docs, items):
+    """All pairs, windows as tuples of words."""
+
+    def cut(words, n):
+        return [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+
+    def forms(text):
+        plain, _, _, slot = decontam.parse(text)
+        kinds = [("<num>" if re.search(r"\d", w) else "<unit>" if w in decontam.UNITS and i and re.search(r"\d", plain[i - 1]) else "<name>") if s else w for i, (w, s) in enumerate(zip(plain, slot, strict=True))]
+        return plain, kinds, slot
+
+    out = {}
+    known = [(i, *forms(t)) for i, t in items if i is not None and t]
+    for d, t in docs:
+        w, k, _ = forms(t)
+        places = [defaultdict(list), defaultdict(list)]
+        for n in range(3, decontam.WINDOW + 1):
+            for x, of in ((w, places[0]), (k, places[1])):
+                for p, c in enumerate(cut(x, n)):
+                    of[c].append(p)
+        for i, iw, ik, slot in known:
+            n = min(decontam.WINDOW, len(iw))
+            if n < 3:
+                continue
+            shares, pairs = [], set()
+            for kind, x in ((0, iw), (1, ik)):
+                fine = [a for a in range(len(iw) - n + 1) if not kind or n - sum(slot[a : a + n]) >= min(decontam.MIN_PLAIN, n)]
+                found = [a for a in fine if tuple(x[a : a + n]) in places[kind]]
+                cover, every = ({a + j for a in z for j in range(n)} for z in (found, fine))
+                shares.append(len(cover) / len(every) if every and 2 * len(found) >= len(fine) else 0.0)
+                if kind:
+                    every = [(a, p) for a in found for p in places[1][tuple(x[a : a + n])]]
+                    line = Counter(p - a for a, p in every)
+                    one = {a: min((-line[p - a], p) for b, p in every if b == a)[1] for a in found}
+                    pairs = {(a + j, p + j) for a, p in one.items() for j in range(n) if slot[a + j]}
+            values = [(iw[a], w[b]) for a, b in pairs]
+            count = Counter(values)
+            image = {a: min((-m, y) for (x, y), m in count.items() if x == a)[1] for a, _ in values}
+            origin = {b: min((-m, x) for (x, y), m in count.items() if y == b)[1] for _, b in values}
+            agree = sum(image[a] == b and origin[b] == a for a, b in values) / len(values) if values else 1.0
+            if shares[0] >= decontam.THRESHOLD or min(shares[1], agree) >= decontam.THRESHOLD:
+                out[d, i] = (*shares, agree)
+    return out
+
+
+def test_leak_query_against_brute_force(spark, small, docs_of):
+    docs, items = rows_of(small, "documents", "doc_id, text"), rows_of(small, "benchmark")
+    want = brute_leaks(docs, items)
+    got = {(r["doc_id"], r["item_id"]): (r["literal"], r["template"], r["consistency"]) for r in q.op9_template_decontamination(spark, small).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in got)
+    # the same items with other numbers and names, inside other texts
+    changed = [(1000 + k, "So it is said. " + re.sub(r"\d+", lambda m: str(int(m[0][:12]) * 3 + 1), t) + " That is all.") for k, (_, t) in enumerate(items[:40]) if t]
+    want = brute_leaks(changed, items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(changed), spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+    assert got == set(want) and len(got) >= len(changed)
 
 
 # ---------------------------------------------------------------- nearest neighbours
