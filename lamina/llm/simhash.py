@@ -338,14 +338,15 @@ def similar_links(nodes: DataFrame, proposed: DataFrame, texts: DataFrame, place
     return linked.union(blocks.join(sets, "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
-def without_copies(docs: DataFrame, *, k: int = 5, distance: int = 9, segments: int = 5, similar: float = 0.8) -> DataFrame:
+def without_copies(docs: DataFrame, *, k: int = 5, distance: int = 4, segments: int = 3, similar: float = 0.8) -> DataFrame:
     """docs with one row of each class of near-duplicates: that with the smallest doc_id (nulls last; of equal rows
     any one).
 
     Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; classes are
-    the components of all such links. Candidates come from the SimHash index and, as such copies often differ in
-    more bits than any index of 64 bits can bear (4 to 18), from BANDS keys of ROWS minima each: a pair of similarity
-    0.8 meets under none of them with probability (1 - 0.8 ** ROWS) ** BANDS, 7e-6. Every link is verified on the
+    the components of all such links. Candidates come from the SimHash index (4 bits, keys of 21 bits: more bits would need
+    keys so short that very many texts share each) and, as such copies differ in up to 18 bits, from BANDS keys of ROWS
+    minima each: a pair of similarity 0.8 meets under none of them with probability (1 - 0.8 ** ROWS) ** BANDS, 7e-6.
+    Every link is verified on the
     exact sets before it counts. Rows are told apart by doc_id and a hash of the text; the text of candidates moves
     once for their sets, that of what is kept once at the end.
     """
