@@ -6,6 +6,7 @@ permutation tests, fitted models); tests hold it against brute force.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from lamina.config import SamplerConfig
 from lamina.functions import bits, keys
 from lamina.operators import anomaly, arms, dedup, frames, leakage, lookups, metrics, quality, sampling, splitting, statistics
 from lamina.scratch import new_folder
+from lamina.sources import records, sinks
 
-from . import views
+from . import experiment, views
 from .curation import curate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -555,14 +557,134 @@ def packed_bits(spark, sf_dir):
 @query(f"WITH {views.lines_sql('l_suppkey')}, {_naive('l', 3)} SELECT split, count(*) AS n_frames, count(DISTINCT group_id) AS n_groups FROM m GROUP BY split")
 def manifest_roundtrip(spark, sf_dir):
     """Write a manifest, read it back, count."""
-    from lamina.sources import records, sinks
-
     path = new_folder(spark, "manifest")
     sinks.write_manifest(splitting.split_naive(views.lines(spark, sf_dir, "l_suppkey"), seed=3), path, strategy="naive_by_frame", seed=3)
     rows, _ = records.read_manifest(spark, path)
     return rows.groupBy("split").agg(F.count("*").alias("n_frames"), F.count_distinct("group_id").alias("n_groups"))
 
 
+# ---------------------------------------------------------------- experiment results
+
+
+@query(f"WITH {views.RESULTS} SELECT dose, arm, round(avg(auroc), 6) AS mean_auroc FROM res GROUP BY dose, arm")
+def dose_means(spark, sf_dir):
+    return rounded(arms.mean_by_dose(views.results(spark, sf_dir)), "mean_auroc")
+
+
+_PAIRED = f"{views.RESULTS}, pd AS (SELECT l.dose, l.seed, l.auroc AS treatment, c.control FROM res l JOIN (SELECT seed, arg_min(auroc, dose) AS control FROM res WHERE arm = 'clean' GROUP BY seed) c USING (seed) WHERE l.arm = 'leaked' AND l.dose > 0)"
+
+
+@query(f"WITH {_PAIRED} SELECT dose, seed, treatment, control FROM pd")
+def dose_pairs(spark, sf_dir):
+    return arms.paired_by_dose(views.results(spark, sf_dir)).select("dose", "seed", "treatment", "control")
+
+
+@query(f"WITH {_PAIRED} SELECT dose, count(*) AS n, round(avg(treatment - control), 6) AS mean_difference, round(quantile_cont(treatment - control, 0.5), 6) AS median_difference FROM pd GROUP BY dose")
+def dose_contrast(spark, sf_dir):
+    """A row for each measured dose; p-values and intervals are held against brute force by tests."""
+    found = experiment.dose_response(views.results(spark, sf_dir), n_bootstrap=100)
+    return rounded(found.select("dose", "n", "mean_difference", "median_difference"), "mean_difference", "median_difference")
+
+
+@query(f"WITH {views.RESULTS}, z AS (SELECT seed, max(auroc) FILTER (WHERE arm = 'leaked') - max(auroc) FILTER (WHERE arm = 'clean') AS d FROM res WHERE dose = 0 GROUP BY seed) SELECT count(*) AS n, max(abs(d)) AS max_difference FROM z")
+def zero_dose(spark, sf_dir):
+    return experiment.zero_dose_holds(views.results(spark, sf_dir))
+
+
+@query(f"WITH {views.REPLICATES} SELECT contrast, replicate, treatment, control FROM r")
+def paired_replicates(spark, sf_dir):
+    r, on = views.replicates(spark, sf_dir), ["contrast", "replicate"]
+    return statistics.paired(r.select(*on, F.col("treatment").alias("v")), r.select(*on, F.col("control").alias("v")), on, "v").select(*on, "treatment", "control")
+
+
+@query(f"WITH {views.RESULTS} SELECT dose, count(*) AS n_trainings, round(count(*) * 548 * 0.099::DOUBLE, 6) AS seconds FROM res GROUP BY dose")
+def run_cost(spark, sf_dir):
+    n = views.results(spark, sf_dir).groupBy("dose").agg(F.count("*").alias("n_trainings"))
+    return rounded(n.withColumn("seconds", arms.cost_seconds(F.col("n_trainings"), F.lit(548), 0.099)), "seconds")
+
+
+# ---------------------------------------------------------------- parsing, media time
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 7 ELSE user_id END AS n, CASE WHEN user_id % 3 = 0 THEN 0.5::DOUBLE ELSE value END AS x FROM events")
+def parsed_settings(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    raw = [F.when(F.col("user_id") % 3 != 0, F.col(c).cast("string")) for c in ("user_id", "value")]
+    return e.select("event_id", keys.parse_int("n", raw[0], 7).alias("n"), keys.parse_float("x", raw[1], 0.5).alias("x"))
+
+
+@query("SELECT page_id, regexp_matches(lower(u), '^rtsps?://') AS is_live FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(url, 'http', 'RTSP') WHEN 1 THEN 'x' || url ELSE url END AS u FROM pages)")
+def live_urls(spark, sf_dir):
+    u = F.when(F.col("page_id") % 3 == 0, F.replace(F.col("url"), F.lit("http"), F.lit("RTSP"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("x"), F.col("url"))).otherwise(F.col("url"))
+    return views.table(spark, sf_dir, "pages").select("page_id", keys.is_rtsp(u).alias("is_live"))
+
+
+@query(
+    f"WITH {views.EVENTS}, m AS (SELECT path, frame_index, CASE WHEN frame_index % 2 = 0 THEN signal END AS ms, CASE event_type WHEN 'click' THEN 25.0::DOUBLE WHEN 'view' THEN 0.0::DOUBLE END AS fps FROM e), "
+    "x AS (SELECT *, coalesce(fps > 0, false) AS fps_is_measured FROM m), y AS (SELECT *, CASE WHEN fps_is_measured THEN fps ELSE 30.0::DOUBLE END AS rate FROM x) SELECT path, rate, fps_is_measured, round(CASE WHEN ms > 0 THEN ms / 1000.0::DOUBLE ELSE frame_index / rate END, 6) AS at FROM y"
+)
+def media_time(spark, sf_dir):
+    """The container's time and frame rate where it has them, otherwise the fallback's."""
+    e = views.events(spark, sf_dir).withColumn("ms", F.when(F.col("frame_index") % 2 == 0, F.col("signal")))
+    fps = F.when(F.col("event_type") == "click", F.lit(25.0)).when(F.col("event_type") == "view", F.lit(0.0))
+    rate, measured = keys.measured_fps(fps, 30.0)
+    timed = e.select("path", "frame_index", "ms", rate.alias("rate"), measured.alias("fps_is_measured"))
+    return rounded(timed.select("path", "rate", "fps_is_measured", keys.timestamp_s("ms", "frame_index", "rate").alias("at")), "at")
+
+
+# ---------------------------------------------------------------- files, written and read back
+
+
+@query("SELECT user_id::VARCHAR AS group_id, event_type AS class, CASE WHEN event_type = 'click' THEN 'normal' ELSE 'defect' END AS label, event_id || '.mp4' AS source_video FROM events")
+def capture_log(spark, sf_dir):
+    path = new_folder(spark, "captures")
+    e = views.table(spark, sf_dir, "events")
+    label = F.when(F.col("event_type") == "click", "normal").otherwise("scratch")
+    rows = e.select(F.col("user_id").cast("string").alias("pieza"), F.col("event_type").alias("clase"), label.alias("etiqueta"), F.concat(F.col("event_id").cast("string"), F.lit(".mp4")).alias("ruta"), "event_id")
+    for k in (0, 1):
+        sinks.append_records(rows.where(F.col("event_id") % 2 == k).drop("event_id"), path)
+    return records.frames_of_captures(records.read_captures(spark, path))
+
+
+@query("SELECT user_id::VARCHAR AS clave, arg_max(value, event_id) AS auroc FROM events GROUP BY user_id")
+def result_cache(spark, sf_dir):
+    """Each key written with its first value, then with its last: the last write counts."""
+    path = new_folder(spark, "cache")
+    per = views.table(spark, sf_dir, "events").groupBy("user_id")
+    for pick in (F.min_by, F.max_by):
+        sinks.append_records(per.agg(pick("value", "event_id").alias("auroc")).select(F.col("user_id").cast("string").alias("clave"), "auroc"), path)
+        time.sleep(1.1)  # files are told apart by their time, in seconds on some stores
+    return records.read_cache(spark, path)
+
+
+@query("SELECT 'docs/' || doc_id || '.txt' AS key, length(text) AS chars FROM documents WHERE text IS NOT NULL")
+def artifacts(spark, sf_dir):
+    path = new_folder(spark, "artifacts")
+    docs = views.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    sinks.put_artifacts(docs.select(F.concat(F.lit("docs\\"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"), F.encode("text", "UTF-8").alias("content")), path)
+    return spark.read.parquet(path).select("key", F.length(F.decode("content", "UTF-8")).cast("long").alias("chars"))
+
+
+@query(f"WITH {views.EVENTS} SELECT split, group_id, frame_index, path FROM (SELECT *, CASE WHEN label = 'normal' THEN 'train' ELSE 'test' END AS split FROM e)")
+def manifest_json(spark, sf_dir):
+    """A manifest with explicit assignments as one JSON document (an interchange format for small tables), read as rows."""
+    path = new_folder(spark, "manifest-json")
+    e = frames.checked(views.events(spark, sf_dir)).select(*[f.name for f in frames.FRAME_SCHEMA]).withColumn("split", F.when(F.col("label") == "normal", "train").otherwise("test"))
+    per = e.groupBy("split").agg(F.collect_list(F.struct(*[f.name for f in frames.FRAME_SCHEMA])).alias("rows"))
+    sinks.archive(per.agg(F.lit("by_group").alias("strategy"), F.lit(0).cast("long").alias("seed"), F.map_from_entries(F.collect_list(F.struct("split", "rows"))).alias("assignments")), path)
+    return records.read_manifest_json(spark, path).select("split", "group_id", "frame_index", "path")
+
+
+@query(f"WITH {views.EVENTS} SELECT path, group_id FROM e WHERE frame_index < 3")
+def materialised_once(spark, sf_dir):
+    """The second write finds a table and leaves it as it is."""
+    path = new_folder(spark, "once")
+    e = views.events(spark, sf_dir).select("path", "group_id", "frame_index")
+    for most in (3, 9):
+        sinks.materialise(e.where(F.col("frame_index") < most).drop("frame_index"), path)
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------- vector anomaly scores
 
 

@@ -116,3 +116,15 @@ CLIPS = """c AS (
   SELECT user_id::VARCHAR AS class, strftime(ts, '%Y-%m-%d') AS day, least(1.0::DOUBLE, value / 255.0::DOUBLE) AS brightness,
     CASE WHEN value < 1 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS clipped_dark, CASE WHEN value > 200 THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END AS clipped_bright, value * 2 AS sharpness FROM events
 )"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate results: dose, seed, arm, auroc. A contrast's replicates are a dose's; four users share a seed."""
+    r = replicates(spark, sf_dir)
+    both = F.explode(F.array(F.struct(F.lit("leaked").alias("arm"), F.col("treatment").alias("auroc")), F.struct(F.lit("clean").alias("arm"), F.col("control").alias("auroc"))))
+    return r.select((F.col("contrast") * F.lit(0.1)).alias("dose"), F.floor(F.col("replicate") / 4).cast("long").alias("seed"), both.alias("x")).select("dose", "seed", "x.arm", "x.auroc")
+
+
+RESULTS = f"""{REPLICATES}, res AS (
+  SELECT contrast * 0.1::DOUBLE AS dose, replicate // 4 AS seed, arm, CASE WHEN arm = 'leaked' THEN treatment ELSE control END AS auroc FROM r, (VALUES ('leaked'), ('clean')) a(arm)
+)"""
