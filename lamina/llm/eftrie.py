@@ -37,7 +37,7 @@ import mmap
 import os
 import tempfile
 import uuid
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +58,8 @@ CHUNK_TOKENS = 1 << 21
 #: Texts that are looked up at once.
 BATCH = 1024
 #: Words whose ids a worker keeps.
+#: Files of a level that a process holds mapped at most.
+OPEN_FILES = 4_096
 CACHE_WORDS = 400_000
 Q_LOW, Q_STEPS = -10.0, 65535
 A_LOW, A_STEPS = -10.0, 65535
@@ -220,6 +222,16 @@ def _map(uri: str) -> mmap.mmap:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
+def _kept(held: OrderedDict, key: int, opened):
+    """What opened() gives for key, kept with the OPEN_FILES that were used last: a mapping ends with its last use."""
+    if key not in held:
+        held[key] = opened()
+        if len(held) > OPEN_FILES:
+            held.popitem(last=False)
+    held.move_to_end(key)
+    return held[key]
+
+
 # ---------------------------------------------------------------- counting
 
 
@@ -278,7 +290,7 @@ class Words:
 
     def __init__(self, folder: str, bits: int, offsets: np.ndarray, n_tokens: int) -> None:
         self.folder, self.bits, self.offsets, self.n_tokens = folder, bits, offsets, n_tokens
-        self.maps: dict[int, tuple] = {}
+        self.maps: OrderedDict[int, tuple] = OrderedDict()
         self.known: dict[bytes, int] = {}
 
     @property
@@ -289,11 +301,12 @@ class Words:
         return (h >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
 
     def _shard(self, s: int) -> tuple[EliasFano, np.ndarray]:
-        if s not in self.maps:
+        def opened():
             data = _map(f"{self.folder}/words-{s:05d}.ef")
             ef = EliasFano(data)
-            self.maps[s] = (ef, np.frombuffer(data, "<u8", ef.n, ef.end))
-        return self.maps[s]
+            return ef, np.frombuffer(data, "<u8", ef.n, ef.end)
+
+        return _kept(self.maps, s, opened)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashes, -1 for unknown ones."""
@@ -386,8 +399,8 @@ class Model:
 
     def __init__(self, words: Words, shards: int, discount: float, smoothing: float) -> None:
         self.words, self.shards, self.discount, self.smoothing = words, shards, discount, smoothing
-        self.maps: dict[int, Pairs] = {}
-        self.backs: dict[int, np.ndarray] = {}
+        self.maps: OrderedDict[int, Pairs | None] = OrderedDict()
+        self.backs: OrderedDict[int, np.ndarray] = OrderedDict()
 
     def __getstate__(self):
         w = self.words
@@ -397,15 +410,14 @@ class Model:
         self.__init__(Words(*state[:4]), *state[4:])
 
     def _pairs(self, s: int) -> Pairs | None:
-        if s not in self.maps:
+        def opened():
             data = _map(f"{self.words.folder}/pairs-{s:05d}.ef")
-            self.maps[s] = Pairs(data) if len(data) > 1 else None
-        return self.maps[s]
+            return Pairs(data) if len(data) > 1 else None
+
+        return _kept(self.maps, s, opened)
 
     def _backoff(self, s: int) -> np.ndarray:
-        if s not in self.backs:
-            self.backs[s] = np.frombuffer(_map(f"{self.words.folder}/backoff-{s:05d}.u16"), "<u2")
-        return self.backs[s]
+        return _kept(self.backs, s, lambda: np.frombuffer(_map(f"{self.words.folder}/backoff-{s:05d}.u16"), "<u2"))
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, known tokens, base score, score) of each text."""

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, require, staged
+from .common import free_name, n_words, require, staged
 
 MIN_WORDS = 10
 PAIRS_A_TASK = 2_000
@@ -250,11 +250,12 @@ def without_common_blocks(docs: DataFrame, *, min_words: int = MIN_WORDS, pairs_
     """docs, with text less its deleted lines, and n_lines, n_deleted and deleted (their places)."""
     require(docs, "doc_id", "text")
     gone = deletions(docs.select("doc_id", "text"), min_words, pairs_a_task)
-    gone = gone.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), F.col("lines").alias("l_"))
+    ls, gl = free_name(docs, "ls_"), free_name(docs, "l_")  # the last select sees them beside docs' own columns
+    gone = gone.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), F.col("lines").alias(gl))
     names = [c for c in docs.columns if c.lower() not in {"text", "n_lines", "n_deleted", "deleted"}]
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("r_"), "doc_id", "text")
     joined = rows.join(gone, (F.col("doc_id").cast("long") == F.col("d_")) & (F.xxhash64("text") == F.col("t_")), "left")
-    joined = joined.select("r_", "text", F.split("text", "\n").alias("ls_"), "l_")  # used more than once, so Spark splits once
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("ls_") - 1), "l_"), lambda i: F.get("ls_", i))
-    text = F.when(F.col("l_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select("r_.*", text.alias("text"), F.coalesce(F.size("ls_"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("l_"), F.lit(0)).alias("n_deleted"), F.coalesce("l_", F.array().cast("array<int>")).alias("deleted"))
+    joined = joined.select("r_", "text", F.split("text", "\n").alias(ls), gl)  # used more than once, so Spark splits once
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gl), lambda i: F.get(ls, i))
+    text = F.when(F.col(gl).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.select("r_.*", text.alias("text"), F.coalesce(F.size(ls), F.lit(0)).alias("n_lines"), F.coalesce(F.size(gl), F.lit(0)).alias("n_deleted"), F.coalesce(gl, F.array().cast("array<int>")).alias("deleted"))
