@@ -16,11 +16,14 @@ are masked, so over all windows each assistant text is a target exactly once.
 
 A turn's tokens are its words plus `per_turn`. A null text or role is empty. A null conv_id is a
 conversation of its own. Repeated rows are turns of their own. Extra columns are ignored, empty tables give
-empty results. A conversation is only ever gathered as its turns' token counts; texts meet by window.
+empty results. A conversation is only ever gathered as its turns' token counts; texts meet by window. Folds carry
+ints and put them away in blocks, so a conversation of very many turns takes time nearly linear in them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ BUDGET = 512
 HISTORY = 2
 HISTORY_SHARE = 0.25
 PER_TURN = 4
+#: Steps of a fold after which its results are put away.
+BLOCK = 256
 
 # a control string's first character, with the rest of it ahead
 _BREAK = r"<(?=\||s>|/s>|<SYS>>|</SYS>>|start_of_turn>|end_of_turn>)|\|(?=>)|\[(?=INST\]|/INST\])"
@@ -53,45 +58,70 @@ def _numbered(turns: DataFrame, per_turn: int) -> DataFrame:
     return plain.select("conv_id", (F.row_number().over(order) - 1).alias("i"), "role", "text", (n_words(F.col("text")) + per_turn).cast("int").alias("tokens"))
 
 
+def _folded(begin: Column, end: Column, start: Column, state: Callable, made: Callable) -> Column:
+    """Fold over the numbers from begin to before end: all the ints that the arrays made(state, j) hold.
+    A fold copies what it carries at each step: so it carries ints alone, and those of a block are put away with it."""
+    none = F.array().cast("array<int>")
+    starts = F.when(end > begin, F.sequence(begin, end - 1, F.lit(BLOCK))).otherwise(none)
+
+    def block(a: Column, first: Column) -> Column:
+        def step(e: Column, j: Column) -> Column:
+            return F.struct(state(e["state"], j).alias("state"), F.concat(e["ints"], made(e["state"], j)).alias("ints"))
+
+        def put_away(e: Column) -> Column:
+            return F.struct(e["state"].alias("state"), F.concat(a["done"], e["ints"]).alias("done"))
+
+        return F.aggregate(F.sequence(first, F.least(first + BLOCK, end) - 1), F.struct(a["state"].alias("state"), none.alias("ints")), step, put_away)
+
+    return F.aggregate(starts, F.struct(start.alias("state"), none.alias("done")), block)["done"]
+
+
 def spans(numbered: DataFrame, budget: int, history: int, share: float) -> DataFrame:
     """conv_id, window, first (of the repeated history), begin, end, has_system, over_budget."""
-    per = numbered.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "tokens", (F.col("role") == "system").alias("system")))).alias("t"))
-    per = per.withColumn("has_system", F.col("t")[0]["system"]).withColumn("begin", F.col("has_system").cast("int"))
-    per = per.withColumn("room", F.lit(budget) - F.when(F.col("has_system"), F.col("t")[0]["tokens"]).otherwise(0))
-    # prefix[j] = tokens of turns before j
-    zero = F.array(F.lit(0).cast("long"))
-    per = per.withColumn("prefix", F.aggregate("t", F.struct(zero.alias("p"), F.lit(0).cast("long").alias("s")), lambda a, x: F.struct(F.array_append(a["p"], a["s"] + x["tokens"]).alias("p"), (a["s"] + x["tokens"]).alias("s")))["p"])
-    prefix = F.col("prefix")
+    # before: tokens of the turns before each
+    order = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = numbered.select("conv_id", "i", "tokens", (F.col("role") == "system").alias("system"), F.sum("tokens").over(order).alias("upto"))
+    per = sums.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "upto", "tokens", "system"))).alias("t"))
+    per = per.select(
+        "conv_id", F.col("t")[0]["system"].alias("has_system"), F.size("t").alias("n"),
+        (F.lit(budget) - F.when(F.col("t")[0]["system"], F.col("t")[0]["tokens"]).otherwise(0)).alias("room"),
+        F.concat(F.array(F.lit(0).cast("long")), F.col("t.upto")).alias("prefix"),
+    ).withColumn("begin", F.col("has_system").cast("int"))
 
     def at(j: Column) -> Column:
-        return F.element_at(prefix, (j + 1).cast("int"))
+        return F.element_at("prefix", (j + 1).cast("int"))
 
     def history_of(j: Column) -> Column:
         """The first turn of the history of a span that begins at turn j."""
         ways = [F.when((j - h >= F.col("begin")) & (at(F.greatest(j - h, F.lit(0))) + F.lit(int(budget * share)) >= at(j)), j - h) for h in range(history, 0, -1)]
         return F.coalesce(*ways, j)
 
-    empty = F.array().cast("array<struct<first:int,begin:int,end:int>>")
-    start = F.struct(empty.alias("done"), F.col("begin").alias("begin"), F.col("begin").alias("first"))
-
-    def step(a: Column, j: Column) -> Column:
-        """Turn j joins the open span, or closes it and begins the next one with its history."""
-        fits = (j == a["begin"]) | (at(j + 1) - at(a["first"]) <= F.col("room"))
-        closed = F.array_append(a["done"], F.struct(a["first"].alias("first"), a["begin"].alias("begin"), j.alias("end")))
-        # the history goes if the turn doesn't fit beside it
+    def first_of(j: Column) -> Column:
+        """The first turn of a window whose span begins at j: history goes if the turn doesn't fit beside it."""
         back = history_of(j)
-        back = F.when(at(j + 1) - at(back) <= F.col("room"), back).otherwise(j)
-        return F.when(fits, a).otherwise(F.struct(closed.alias("done"), j.alias("begin"), back.alias("first")))
-
-    n = F.size("t")
-    turns = F.when(n > F.col("begin"), F.sequence(F.col("begin"), n - 1)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(turns, start, step)
-    per = per.withColumn("last", last)
-    done = F.array_append(F.col("last.done"), F.struct(F.col("last.first").alias("first"), F.col("last.begin").alias("begin"), n.alias("end")))
-    return per.select("conv_id", "has_system", "room", "prefix", F.posexplode(done).alias("window", "w")).select(
-        "conv_id", "window", "w.first", "w.begin", "w.end", "has_system",
-        (F.element_at("prefix", F.col("w.end") + 1) - F.element_at("prefix", F.col("w.first") + 1) > F.col("room")).alias("over_budget"),
-    )
+        return F.when(at(j + 1) - at(back) <= F.col("room"), back).otherwise(j)
+
+    def fits(a: Column, j: Column) -> Column:
+        return (j == a["begin"]) | (at(j + 1) - at(a["first"]) <= F.col("room"))
+
+    def joined(a: Column, j: Column) -> Column:
+        """Turn j joins the open span, or begins the next one."""
+        return F.when(fits(a, j), a).otherwise(F.struct(first_of(j).alias("first"), j.alias("begin")))
+
+    none = F.array().cast("array<int>")
+    start = F.struct(F.col("begin").alias("first"), F.col("begin").alias("begin"))
+    later = _folded(F.col("begin"), F.col("n"), start, joined, lambda a, j: F.when(fits(a, j), none).otherwise(F.array(j)))
+    per = per.withColumn("begins", F.concat(F.array("begin"), later))
+
+    def window(begin: Column, k: Column) -> Column:
+        first = F.when(k == 0, begin).otherwise(first_of(begin))
+        end = F.coalesce(F.get("begins", k + 1), "n")
+        return F.struct(first.alias("first"), begin.alias("begin"), end.alias("end"), (at(end) - at(first) > F.col("room")).alias("over_budget"))
+
+    # prefix must not go along with every window
+    per = per.select("conv_id", "has_system", F.transform("begins", window).alias("done"))
+    # outer: no window array is empty, and Catalyst infers no filter that would make the arrays a second time
+    return per.select("conv_id", "has_system", F.posexplode_outer("done").alias("window", "w")).select("conv_id", "window", "w.first", "w.begin", "w.end", "has_system", "w.over_budget")
 
 
 def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, history_share: float = HISTORY_SHARE, per_turn: int = PER_TURN) -> DataFrame:
@@ -108,16 +138,25 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, h
     rows = rows.withColumn("new", new).withColumn("head", F.concat(F.when(F.col("new"), F.lit(TURN)).otherwise(F.lit(SEEN)), escape(F.col("role")), F.lit("\n"))).withColumn("body", escape(F.col("text")))
     item = F.struct("i", "head", "body", (F.col("new") & (F.col("role") == "assistant")).alias("target"), "new", "tokens")
     per = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(item)).alias("t"), F.first("over_budget").alias("over_budget"))
-    none = F.array().cast("array<struct<begin:int,end:int>>")
 
-    def lay(a: Column, x: Column) -> Column:
-        begin = (a["at"] + F.length(x["head"])).cast("int")
-        end = (begin + F.length(x["body"])).cast("int")
-        return F.struct((end + len(END)).cast("int").alias("at"), F.when(x["target"], F.array_append(a["spans"], F.struct(begin.alias("begin"), end.alias("end")))).otherwise(a["spans"]).alias("spans"))
+    def begin(at: Column, x: Column) -> Column:
+        return (at + F.length(x["head"])).cast("int")
+
+    def behind(at: Column, x: Column) -> Column:
+        return (begin(at, x) + F.length(x["body"])).cast("int")
 
-    laid = F.aggregate("t", F.struct(F.lit(0).alias("at"), none.alias("spans")), lay)
+    def of(j: Column) -> Column:
+        return F.element_at("t", j + 1)
+
+    edges = _folded(
+        F.lit(0), F.size("t"), F.lit(0), lambda at, j: behind(at, of(j)) + len(END),
+        lambda at, j: F.when(of(j)["target"], F.array(begin(at, of(j)), behind(at, of(j)))).otherwise(F.array().cast("array<int>")),
+    )
+    per = per.withColumn("edges", edges)
+    numbers = F.when(F.size("edges") > 0, F.sequence(F.lit(0), F.size("edges") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    loss_spans = F.transform(numbers, lambda k: F.struct(F.get("edges", k).alias("begin"), F.get("edges", k + 1).alias("end")))
     return per.select(
-        "conv_id", "window", F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"), laid["spans"].alias("loss_spans"),
+        "conv_id", "window", F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"), loss_spans.alias("loss_spans"),
         F.aggregate("t", F.lit(0), lambda a, x: a + x["new"].cast("int")).alias("n_new"), F.aggregate("t", F.lit(0), lambda a, x: a + x["tokens"]).alias("tokens"), "over_budget",
     )
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import math
 import re
 import zlib
@@ -351,6 +352,38 @@ def test_chat_windows(spark, budget, history):
     assert chat.windows(t.limit(0)).isEmpty()
 
 
+def greedy_windows(turns, budget, history, share, per_turn):
+    """(first, begin, end) of the windows of one conversation's (role, text)."""
+    size = [len((x or "").split()) + per_turn for _, x in turns]
+    lead = int(turns[0][0] == "system")
+    room = budget - (size[0] if lead else 0)
+    out, begin, first = [], lead, lead
+    for j in range(lead, len(turns)):
+        if j == begin or sum(size[first : j + 1]) <= room:
+            continue
+        out.append((first, begin, j))
+        begin = first = j
+        for h in range(history, 0, -1):
+            if j - h >= lead and sum(size[j - h : j]) <= int(budget * share):
+                if sum(size[j - h : j + 1]) <= room:
+                    first = j - h
+                break
+    return [*out, (first, begin, len(turns))]
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_chat_windows_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    draw = random.Random(7)
+    talks = {c: [("system" if i == 0 and c % 2 else draw.choice(["user", "assistant"]), "w " * draw.choice([0, 1, 3, 8, 40])) for i in range(draw.choice([1, 2, 7, 600 if block == 256 else 30]))] for c in range(12)}
+    t = spark.createDataFrame([(c, i, *x) for c, turns in talks.items() for i, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for budget, history, share, per_turn in [(40, 2, 0.25, 4), (25, 3, 0.9, 1), (12, 1, 1.0, 0)]:
+        got = defaultdict(list)
+        for r in chat.spans(chat._numbered(t, per_turn), budget, history, share).orderBy("conv_id", "window").collect():
+            got[r["conv_id"]].append((r["first"], r["begin"], r["end"]))
+        assert got == {c: greedy_windows(turns, budget, history, share, per_turn) for c, turns in talks.items()}
+
+
 # ---------------------------------------------------------------- language ID
 
 
