@@ -145,11 +145,13 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select(i, True) - i).astype("<u8") << _U(self.low)) | self._low(i)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """For each value the first index whose entry is not smaller (n if there is none)."""
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each value the first index whose entry is not smaller (n if there is none), and whether that entry is
+        the value."""
         values = np.asarray(values, "<u8")
+        hit = np.zeros(len(values), bool)
         if not self.n:
-            return np.zeros(len(values), np.int64)
+            return np.zeros(len(values), np.int64), hit
         high = (values >> _U(self.low)).astype(np.int64)
         total = int(self.zeros[-1])
         out = np.full(len(values), self.n, np.int64)
@@ -168,15 +170,13 @@ class EliasFano:
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
         out[some] = lo
-        return out
+        # the value itself can only be among the entries of its high part
+        inside = np.nonzero(lo < end)[0]
+        hit[some[inside]] = self._low(lo[inside]) == want[inside]
+        return out, hit
 
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index, whether the entry there is the value)."""
-        at = self.successor(values)
-        inside = at < self.n
-        hit = np.zeros(len(at), bool)
-        hit[inside] = self.get(at[inside]) == np.asarray(values, "<u8")[inside]
-        return at, hit
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        return self.find(values)[0]
 
 
 def _slices(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -362,6 +362,11 @@ def _pair_shard(v: np.ndarray, w: np.ndarray, count: np.ndarray, shards: int) ->
     return ((mix + more % _spread(count).astype("<u8")) % _U(shards)).astype(np.int64)
 
 
+def _dealt(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Stable order by shard; of 16 bits numpy sorts by radix."""
+    return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+
+
 class Pairs:
     """One shard of level 2, memory-mapped."""
 
@@ -451,7 +456,7 @@ class Model:
             keys, of = np.unique((v[some].astype("<u8") << wide) | w[some].astype("<u8"), return_inverse=True)
             pv, pw = (keys >> wide).astype(np.int64), (keys & _U((1 << int(wide)) - 1)).astype(np.int64)
             shard = _pair_shard(pv, pw, count[np.searchsorted(unique, pv)], self.shards)
-            order = np.argsort(shard.astype(np.uint16) if self.shards <= 1 << 16 else shard, kind="stable")
+            order = _dealt(shard, self.shards)
             pv, pw, found = pv[order], pw[order], np.zeros(len(keys))
             for s, a, b in _slices(shard[order]):
                 level = self._pairs(s)
@@ -520,9 +525,9 @@ def train(docs: DataFrame, *, discount: float = DISCOUNT, smoothing: float = SMO
             k, c = np.unique(w, return_counts=True)
             v = (k >> wide).astype(np.int64)
             w = (k & _U((1 << int(wide)) - 1)).astype(np.int64)
-            unique, back = np.unique(v, return_inverse=True)
-            shard = _pair_shard(v, w, level.counts(unique)[back], shards)
-            order = np.argsort(shard, kind="stable")
+            new = np.diff(v, prepend=-1) != 0
+            shard = _pair_shard(v, w, level.counts(v[new])[np.cumsum(new) - 1], shards)
+            order = _dealt(shard, shards)
             return _chunks(shard[order], k[order], c[order])
 
         for _, texts in _texts(batches):
