@@ -86,13 +86,27 @@ SCORED = """d AS (
 )"""
 
 
+def _mean_in_tenths(kind: str, name: str) -> tuple[list[Column], Column]:
+    """Aggregates, and from them the mean of a kind's values over 10, rounded half away from zero (null without values).
+
+    A sum of doubles depends on the order of its rows, which would decide means that lie halfway. So values that are
+    decimals of at most 14 and 12 digits are summed and divided as such; a group with any other value keeps doubles.
+    """
+    x = F.when(F.col("event_type") == kind, F.col("value"))
+    exact = x.try_cast("decimal(26,12)")
+    sums = [F.avg(x).alias(f"{name}_mean"), F.count(x).alias(f"{name}_n"), F.sum(exact).alias(f"{name}_sum"), F.every(exact.cast("double").eqNullSafe(x)).alias(f"{name}_exact")]
+    twice, n = f"abs({name}_sum) + abs({name}_sum)", f"cast({name}_n * {{}} as decimal(18,0))"
+    whole = F.expr(f"signum({name}_sum) * (({twice} + {n.format(10)}) div {n.format(20)})")
+    return sums, F.when(F.col(f"{name}_n") == 0, None).when(F.col(f"{name}_exact"), whole).otherwise(F.round(F.col(f"{name}_mean") / 10, 0))
+
+
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired replicates: of each user the mean value of clicks (treatment) and of views (control), in tenths so
     that ties and zero differences occur; the contrast is the user's number modulo 4."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
-    per = e.groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("t"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("c"))
-    whole = [F.round(F.col(x) / 10, 0).alias(n) for x, n in (("t", "treatment"), ("c", "control"))]
-    return per.where("t IS NOT NULL AND c IS NOT NULL").select((F.col("user_id") % 4).cast("long").alias("contrast"), F.col("user_id").alias("replicate"), *whole)
+    (t, treatment), (c, control) = _mean_in_tenths("click", "t"), _mean_in_tenths("view", "c")
+    per = e.groupBy("user_id").agg(*t, *c).where("t_n > 0 AND c_n > 0")
+    return per.select((F.col("user_id") % 4).cast("long").alias("contrast"), F.col("user_id").alias("replicate"), treatment.alias("treatment"), control.alias("control"))
 
 
 REPLICATES = """r AS (

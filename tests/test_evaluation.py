@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lamina.operators import arms, metrics, statistics
+from lamina.plans import views
 
 
 def scores(spark, s, y):
@@ -107,3 +108,18 @@ def test_arms(spark):
     assert arms.clean_minus_leaked(a).groupBy("dose").count().count() == 2
     with pytest.raises(Exception, match="near-duplicates"):
         arms.leaked_arms(f, seeds=[0], doses=[0.9]).collect()
+
+
+def test_replicates_round_exact_means(spark, tmp_path):
+    """Means that lie halfway are rounded as such, whatever the order of rows; values that are no short decimals keep doubles."""
+    rng = np.random.default_rng(0)
+    halfway = [0.07, 89.93, 0.29, 89.71, 0.57, 89.43, 1.13, 88.87, 12.34, 77.66, 33.31, 56.69, 45.0]  # their mean is 45
+    users = [rng.permutation(halfway).tolist() for _ in range(40)]
+    odd = {40: [-45.0], 41: [1 / 3], 42: [1e20], 43: [math.nan], 44: [44.9999999999999], 45: [None, 5.0], 46: [None]}
+    rows = [(u, k, v) for u, values in [*enumerate(users), *odd.items()] for v in values for k in ("click", "view")] + [(47, "click", 1.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert any(np.cumsum(x)[-1] / 13 < 45 for x in users)
+    want = {**dict.fromkeys(range(40), 5.0), 40: -5.0, 41: 0.0, 42: 1e19, 44: 4.0, 45: 1.0}
+    got = {r["replicate"]: (r["contrast"], r["treatment"], r["control"]) for r in views.replicates(spark, str(tmp_path)).collect()}
+    assert all(map(math.isnan, got.pop(43)[1:]))
+    assert got == {u: (u % 4, x, x) for u, x in want.items()}
