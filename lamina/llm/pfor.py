@@ -23,12 +23,14 @@ by a hash of the text, then by text, so that one id's rows, however many, spread
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +43,9 @@ PERCENTILE = 0.9
 #: A shard is closed once it has so many ids (documents are never divided).
 SHARD_TOKENS = 1 << 18
 #: Bytes of words and their ids that a worker keeps, about; characters of text that it encodes at a time.
-CACHE_BYTES, SLICE = 96 << 20, 1 << 20
+CACHE_BYTES, SLICE = 96 << 20, 2 << 20
 #: Rows of an Arrow batch of texts, and of shards.
-TEXT_ROWS, SHARD_ROWS = 512, 8
+TEXT_ROWS, SHARD_ROWS = 1024, 8
 
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, part_start long, payload binary"
 
@@ -173,24 +175,73 @@ class Shard:
         return self.blocks(first, -(-end // self.block))[begin - first * self.block : end - first * self.block]
 
 
-# Cutting a text before each space could divide what the tokenizer's pattern takes as one only where a
-# space has white space before it and white space or the end after it. Cutting also around line feeds and
-# before a final full stop or comma is right where no two white spaces adjoin and a letter or digit comes
-# before the mark. (The third alternative is the cutting mark itself.)
-_COARSE_UNSAFE = re.compile(r"\s (?:\s|\Z)|\x01")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_ODD_MARK = re.compile(r"[.,](?<=[\W_][.,])[ \n]")
-_PLAIN = re.compile(r" ?\S+\Z")
+# White space that a tokenizer's pattern surely takes as such, by byte; and all characters that it could take as such.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MAYBE_SPACE = _SPACE.copy()
+_MAYBE_SPACE[28:32] = True
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_WIDE_BYTES = re.compile(b"|".join(re.escape(c.encode()) for c in map(chr, range(0x80, 0x10000)) if _WIDE_SPACE.match(c)))
+_CLOSED = re.compile(rf"(?!{_WIDE_SPACE.pattern})\S ")
+_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+
+
+def _white(raw: bytes) -> np.ndarray:
+    """For each byte of UTF-8 text whether it belongs to what could be white space."""
+    data = np.frombuffer(raw, "u1")
+    white = _MAYBE_SPACE[data]
+    if b"\xc2\x85" in raw or b"\xc2\xa0" in raw or data.max(initial=0) > 224:  # from U+1000 on
+        for m in _WIDE_BYTES.finditer(raw):
+            white[m.start() : m.end()] = True
+    return white
+
+
+def _cuts(raw: bytes) -> np.ndarray:
+    """For each byte of UTF-8 text whether the text may be cut before it (see WordEncoder); the last byte is no white space."""
+    data = np.frombuffer(raw, "u1")
+    white, space = _white(raw), _SPACE[data]
+    cut = np.zeros(len(data), bool)
+    if len(data) < 2:
+        return cut
+    cut[1:] = space[1:] & ~white[:-1]
+    feed = 1 + np.flatnonzero(data[1:-1] == 10)
+    cut[1 + feed[~white[feed + 1] & ~white[feed - 1]]] = True
+    mark = 1 + np.flatnonzero(((data[1:-1] == 44) | (data[1:-1] == 46)) & space[2:])
+    before = data[mark - 1]
+    cut[mark[_ALNUM[before]]] = True
+    wide = mark[before >= 128]
+    ends = [raw[max(0, i - 4) : i] for i in wide.tolist()]
+    known = {x: x.decode(errors="ignore")[-1:].isalnum() for x in set(ends)}
+    cut[wide[[known[x] for x in ends]]] = True
+    return cut
+
+
+def _strings(raw: bytes, at: np.ndarray) -> pa.StringArray:
+    """The strings of raw that begin at `at`, whose last entry is where the last one ends."""
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw))
+
+
+def _list(strings: pa.StringArray) -> list[str]:
+    """As to_pylist, which makes a scalar of each value before."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each entry, `size` of them, in a row."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, as little-endian u32 bytes.
 
-    A byte-level BPE with the usual pattern never joins across the beginning of " word", so a text's ids
-    are the ids of its pieces in a row. Pieces repeat, so each distinct one is encoded once and kept (up
-    to CACHE_BYTES, then the store is emptied); a long text is cut into stretches first. Texts where such
-    cuts are not provably right, and those that hold the string of a special token, are encoded in whole.
-    Any tokenizer of another kind is used on whole texts throughout.
+    A byte-level BPE with the usual pattern never joins what is before a run of white space and the run, so a text's ids
+    are the ids of its pieces in a row, each beginning with such a run. Cuts are made also after a line feed that has
+    no white space beside it, and before a full stop or comma that has a letter or digit before and white space after it.
+    Where a character's being white space could be in doubt no cut relies on it. Pieces repeat, so each distinct one is
+    encoded once and kept (up to CACHE_BYTES, then those go that were met in one slice only); a long text is cut into
+    stretches first. Texts that hold the string of a special token are encoded in whole. Any tokenizer of another kind
+    is used on whole texts throughout.
     """
 
     def __init__(self, path: str) -> None:
@@ -203,88 +254,148 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         made = json.loads(self.tok.to_str())
         pre = made.get("pre_tokenizer") or {}
-        special = [t["content"] for t in made.get("added_tokens") or []]
+        self.special = [t["content"] for t in made.get("added_tokens") or []]
         plain = made["model"]["type"] == "BPE" and not made.get("normalizer") and not made.get("post_processor")
-        self.by_word = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(re.search(r"\s", x) for x in special)
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.by_word = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(re.search(r"\s", x) for x in self.special)
         vocab = self.tok.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # a byte-level token has a character for each byte
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
+        #: Places of the words that are kept, in their order; and by place: where a word's ids begin in `pool`, how
+        #: many they are, in how many slices it was met, and the bytes that it takes, about.
+        self.known: dict[str, int] = {}
+        self.begin, self.size, self.met, self.cost = (np.zeros(1 << 10, np.int64) for _ in range(4))
+        self.pool, self.n_pool = np.zeros(1 << 12, "<u4"), 0
         self.held = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of pieces, encoded as one text with lead before each; the ids' byte lengths say where a
-        piece ends. lead is "" if each piece begins with a space, otherwise a line feed."""
-        sizes = np.array([len(w.encode()) for w in pieces]) + len(lead)
-        ids = np.array(self.tok.encode_batch_fast([lead + lead.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
-        cuts = np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes)]))
-        if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], np.concatenate([[0], np.cumsum(sizes)])):
-            return self._whole(pieces)
-        raw, cut = ids.tobytes(), (4 * cuts).tolist()
-        skip = 4 * len(lead)
-        return [raw[a + skip : b] for a, b in zip(cut, cut[1:])]  # noqa: B905
-
-    def _learn(self, new: list[str]) -> None:
-        led, bare, odd = [], [], []
-        for w in new:
-            (odd if not _PLAIN.match(w) else led if w[0] == " " else bare).append(w)
-        for words, how in ((led, lambda x: self._joined(x, "")), (bare, lambda x: self._joined(x, "\n")), (odd, self._whole)):
-            for k in range(0, len(words), 5_000):
-                self.known.update(zip(words[k : k + 5_000], how(words[k : k + 5_000]), strict=True))
-        self.held += sum(map(len, new)) * 5 + 160 * len(new)
-
-    def _cuts(self, text: str) -> int:
-        """Where a text may be cut: 2 before spaces and around line feeds and marks, 1 before spaces, 0 nowhere."""
-        if not self.by_word or self.special.search(text):
-            return 0
-        if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x01" in text or _OTHER_SPACE.search(text) or _ODD_MARK.search(text)):
-            return 2
-        return 0 if _COARSE_UNSAFE.search(text) else 1
+    def _joined(self, pieces: pa.StringArray, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and how many each has. Encoded as one text with lead before each; the ids' byte
+        lengths say where a piece ends. lead is "" if each piece begins with white space, otherwise a line feed."""
+        words = _list(pieces)
+        sizes = pc.binary_length(pieces).to_numpy().astype(np.int64) + len(lead)
+        ids = np.array(self.tok.encode_batch_fast([lead + lead.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends, wanted = np.concatenate([[0], np.cumsum(self.n_bytes[ids])]), np.concatenate([[0], np.cumsum(sizes)])
+        cuts = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], wanted):
+            return self._apart(words)
+        if lead:
+            ids = np.delete(ids, cuts[:-1])
+        return ids, np.diff(cuts) - len(lead)
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._whole(words)
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+
+    def _learn(self, new: pa.StringArray) -> np.ndarray:
+        """Encode and keep words that are not known; their places."""
+        words = _list(new)
+        raw = "".join(words).encode()
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(new).to_numpy().astype(np.int64))])
+        white, first = _white(raw), np.frombuffer(raw, "u1")[at[:-1]]
+        closed = ~white[at[1:] - 1]
+        led = _SPACE[first] & closed
+        bare = ~white[at[:-1]] & closed
+        size, n, known = np.zeros(len(words), np.int64), len(self.known), self.known
+        begin = np.zeros(len(words), np.int64)
+        for which, how in ((led, lambda x: self._joined(x, "")), (bare, lambda x: self._joined(x, "\n")), (~led & ~bare, lambda x: self._apart(_list(x)))):
+            rows = np.flatnonzero(which)
+            for k in range(0, len(rows), 5_000):
+                some = rows[k : k + 5_000]
+                ids, size[some] = how(new.take(pa.array(some)))
+                begin[some] = self.n_pool + np.cumsum(size[some]) - size[some]
+                self.pool = self._grown(self.pool, self.n_pool + len(ids))
+                self.pool[self.n_pool : self.n_pool + len(ids)] = ids
+                self.n_pool += len(ids)
+        where = np.arange(n, n + len(words))
+        known.update(zip(words, where.tolist(), strict=True))
+        cost = 160 + 5 * np.diff(at)
+        for name, x in (("begin", begin), ("size", size), ("met", 0), ("cost", cost)):
+            grown = self._grown(getattr(self, name), n + len(words))
+            grown[n : n + len(words)] = x
+            setattr(self, name, grown)
+        self.held += int(cost.sum())
+        return where
+
+    @staticmethod
+    def _grown(x: np.ndarray, n: int) -> np.ndarray:
+        """x, or a longer copy, with room for n entries."""
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x) * 3 // 2) - len(x), x.dtype)])
+
+    def _trim(self) -> None:
+        """Forget the words met in one slice only, and of the others the least met that exceed half of CACHE_BYTES."""
+        n = len(self.known)
+        met, cost = self.met[:n], self.cost[:n]
+        order = np.argsort(-met, kind="stable")
+        keep = np.zeros(n, bool)
+        keep[order[np.cumsum(cost[order]) <= CACHE_BYTES // 2]] = True
+        keep &= met > 1
+        self.known = {w: i for i, w in enumerate(itertools.compress(self.known, keep.tolist()))}
+        begin, self.size = self.begin[:n][keep], self.size[:n][keep]
+        self.pool = self.pool[_ragged(begin, self.size)]
+        self.begin, self.n_pool = np.cumsum(self.size) - self.size, len(self.pool)
+        self.met, self.cost = met[keep] // 2, cost[keep]
+        self.held = int(self.cost.sum())
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Places of distinct words."""
+        found = np.fromiter(map(self.known.get, _list(words), itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn(words.take(pa.array(new)))
+        self.met[found] += 1
+        return found
 
     @staticmethod
     def _stretches(text: str) -> Iterator[str]:
-        """A text in stretches of about SLICE characters, each but the first beginning with a space."""
+        """A text in stretches of about SLICE characters, each but the first beginning with a space after no white space."""
         at = 0
         while len(text) - at > SLICE:
             cut = text.rfind(" ", at + 1, at + SLICE)
-            cut = cut if cut > 0 else text.find(" ", at + SLICE)
-            if cut < 0:
-                break
+            while cut > at and _CLOSED.match(text, cut - 1) is None:
+                cut = text.rfind(" ", at + 1, cut)
+            if cut <= at:
+                found = _CLOSED.search(text, at + SLICE - 1)
+                if found is None:
+                    break
+                cut = found.end() - 1
             yield text[at:cut]
             at = cut
         yield text[at:]
 
-    @staticmethod
-    def _pieces(text: str, cuts: int) -> list[str]:
-        if cuts == 1:
-            return text.replace(" ", "\x01 ").split("\x01")
-        t = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
-        return t.replace(".\x01", "\x01.\x01").replace(",\x01", "\x01,\x01").split("\x01")
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of texts, about SLICE characters together or one text."""
-        cuts = list(map(self._cuts, texts))
-        if any(len(t) > SLICE and c for t, c in zip(texts, cuts, strict=True)):
-            return [b"".join(x for part in self._stretches(t) for x in self._encoded([part], [c])) if c else self._whole([t])[0] for t, c in zip(texts, cuts, strict=True)]
-        return self._encoded(texts, cuts)
-
-    def _encoded(self, texts: list[str], cuts: list[int]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole(texts)
+        whole = [any(x in t for x in self.special) for t in texts]
+        if any(whole):
+            plain = iter(self.encode([t for t, w in zip(texts, whole, strict=True) if not w]))
+            return [self._whole([t])[0] if w else next(plain) for t, w in zip(texts, whole, strict=True)]
+        if any(len(t) > SLICE for t in texts):
+            return [b"".join(self._encoded([part])[0] for part in self._stretches(t)) for t in texts]
+        return self._encoded(texts)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         if self.held > CACHE_BYTES:
-            self.forget()
-        pieces = [self._pieces(t, c) if c else None for t, c in zip(texts, cuts, strict=True)]
-        known = self.known
-        self._learn(list(set().union(*(ws for ws in pieces if ws)).difference(known)))
-        whole = iter(self._whole([t for t, ws in zip(texts, pieces, strict=True) if ws is None]))
-        return [next(whole) if ws is None else b"".join(map(known.__getitem__, ws)) for ws in pieces]
+            self._trim()
+        parts = [t.encode() for t in texts]
+        raw = b"\x02".join(parts) + b"\x02"  # a byte between texts; which of them are between is known by their places
+        after = np.cumsum(np.array([len(x) + 1 for x in parts]))
+        cut = np.append(_cuts(raw), True)
+        cut[0] = cut[after] = cut[after - 1] = True
+        at = np.flatnonzero(cut)
+        pieces = _strings(raw, at).dictionary_encode()
+        where = self._places(pieces.dictionary)
+        codes = pieces.indices.to_numpy()
+        size, between = self.size[where][codes], np.searchsorted(at, after - 1)
+        size[between] = 0
+        ids = self.pool[_ragged(self.begin[where][codes], size)].tobytes()
+        ends = (4 * np.cumsum(size)[between]).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -327,7 +438,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
 
         def rows():
             for b in batches:
-                for part in slices(b, 1, SLICE):
+                for part in slices(b, 1, SLICE, TEXT_ROWS):
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     for d, raw in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
                         yield d, raw + end

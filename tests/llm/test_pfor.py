@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -28,6 +29,45 @@ def test_cuts_give_the_tokenizers_ids(text):
     assert e.encode([text]) == e._whole([text])
 
 
+_ODD = "a a b . , \n \t \x01 \x02 \x1c é ' 1 _ - \x85 \xa0 \u180e \u200b \u2028 \u3000 \ufeff “ ½ ① \u0301 中 😀 \r <|endoftext|>".split(" ") + [" ", " the"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_ODD), max_size=30).map("".join), max_size=6), st.sampled_from([7, 1 << 20]), st.sampled_from([300, 1 << 20]))
+def test_texts_together_give_the_tokenizers_ids(texts, slice_size, cache):
+    e = pfor.encoder(PATH)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pfor, "SLICE", slice_size)
+        m.setattr(pfor, "CACHE_BYTES", cache)
+        assert e.encode(texts) == e._whole(texts)
+
+
+class Counting:
+    """A tokenizer that counts the characters that it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.chars = tok, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.chars += sum(map(len, texts))
+        return self.tok.encode_batch_fast(texts, **how)
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Also in texts with runs of white space, and the words that repeat also after the store was full."""
+    e = pfor.WordEncoder(PATH)
+    e.tok = Counting(e.tok)
+    often = [f"one two  \n\n“three”. \tfour ({i % 7})  \n" * 100 for i in range(50)]
+    whole = e._whole(often)
+    e.tok.chars = 0
+    assert e.encode(often) == whole and e.tok.chars < 500
+    monkeypatch.setattr(pfor, "CACHE_BYTES", 20_000)
+    for k in range(20):
+        e.encode([*often, " ".join(f"w{k}x{i}" for i in range(100))])
+    e.tok.chars = 0
+    assert e.encode(often) == whole and e.tok.chars == 0 and e.held <= 40_000
+
+
 def ordered(docs):
     text = F.coalesce("text", F.lit(""))
     return [(r[0], r[1]) for r in docs.select("doc_id", text.alias("t")).orderBy("doc_id", F.xxhash64("t"), "t").collect()]
