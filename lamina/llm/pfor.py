@@ -43,7 +43,7 @@ PERCENTILE = 0.9
 #: A shard is closed once it has so many ids (documents are never divided).
 SHARD_TOKENS = 1 << 18
 #: Bytes of words and their ids that a worker keeps, about; characters of text that it encodes at a time.
-CACHE_BYTES, SLICE = 96 << 20, 2 << 20
+CACHE_BYTES, SLICE = 64 << 20, 2 << 20
 #: Rows of an Arrow batch of texts, and of shards.
 TEXT_ROWS, SHARD_ROWS = 1024, 8
 
