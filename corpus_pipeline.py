@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontam, langid, mixing, pfor, simhash
-from lamina.llm.common import free_name, staged
+from lamina.llm.common import TEXT_ROWS, arrow_rows, free_name, staged
 from lamina.llm.queries import table, tokenizer_path
 
 ORACLE_SQL = None
@@ -32,6 +32,8 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents that leak a benchmark item go."""
     leak_id = free_name(docs, "leak_id")
     found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(leak_id)).distinct()
+    with arrow_rows(spark, TEXT_ROWS):
+        found = staged(found, "leaks")
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(leak_id)), "left_anti")
 
 

@@ -1,13 +1,14 @@
-"""What the training-text operators share: the cluster's shared folder, staged tables, schema guards."""
+"""What the training-text operators share: the cluster's shared folder, staged tables, a worker's memory, schema guards."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 #: A word, as every contract of this subpackage has it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1024
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -78,6 +82,28 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_by_worker(owner: str, make: Callable[[], object] = object):
+    """What make() gave, kept by a Python worker from task to task. A worker outlives the stage of an operator, so it keeps
+    things of one owner at a time: those of another go first, and their memory with them."""
+    found = _KEPT.get(owner)
+    if found is None:
+        if _KEPT:
+            _KEPT.clear()
+            trim()
+        found = _KEPT[owner] = make()
+    return found
+
+
+def trim() -> None:
+    """Give free memory back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # glibc's only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most `rows` rows whose column (string or binary) has `most` bytes or one value."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

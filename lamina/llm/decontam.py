@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, staged
+from .common import kept_by_worker, require, staged, trim
 
 WINDOW = 5
 MIN_PLAIN = 3
@@ -90,13 +90,13 @@ class Words:
         return found
 
 
-_WORDS = Words()
 _MARK = {x: xxhash.xxh64_intdigest(x) for x in (_NUM, _UNIT, _NAME)}
 
 
-def parse(text: str | None, words: Words = _WORDS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def parse(text: str | None, words: Words | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Plain words; their hashes; their template hashes; whether they are slots. Words of nothing but
-    punctuation are left out."""
+    punctuation are left out. Without words those that the worker keeps are used."""
+    words = words or kept_by_worker("decontam", Words)
     plain: list[str] = []
     own: list[int] = []
     template: list[int] = []
@@ -245,6 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_pl
             rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in held.value.matches(t.as_py(), threshold)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _FOUND.types, strict=True)], schema=_FOUND)
+            trim()
 
     return small.where(F.col("text").isNotNull()).mapInArrow(look, _FOUND_SQL)
 

@@ -20,7 +20,6 @@ often as they occur and give equal predictions. Texts of any length are read who
 
 from __future__ import annotations
 
-import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, require, slices
+from .common import TEXT_ROWS, arrow_rows, free_name, kept_by_worker, require, slices, staged, trim
 
 UNKNOWN = "und"
 BITS = 15
@@ -47,7 +46,6 @@ _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x16566
 _CHUNK = 1 << 18
 
 
-@functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: whether it is a letter, and what it counts as (itself, or a blank)."""
     letter = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
@@ -63,7 +61,7 @@ def n_grams(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS
     """(bucket, text's place, first n-gram of each text) of the n-grams of texts, in pieces of _CHUNK at most; places
     ascend in a piece."""
     joined = "".join([f" {t} " for t in map(str.lower, texts)])
-    code = _tables()[1][np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
+    code = kept_by_worker("langid", _tables)[1][np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
     row = np.repeat(np.arange(len(texts)), [len(t.lower()) + 2 for t in texts])
     some = np.ones(len(code), bool)
     some[1:] = (code[1:] != 32) | (code[:-1] != 32) | (row[1:] != row[:-1])
@@ -160,6 +158,7 @@ def fit(docs: DataFrame, *, bits: int = BITS, orders: tuple[int, ...] = ORDERS,
                 if len(held) > 64:  # many labels: emit early, so that a task's memory stays bounded
                     yield out(held, n)
                     held, n = {}, {}
+            trim()
         if held:
             yield out(held, n)
 
@@ -178,7 +177,8 @@ def fit(docs: DataFrame, *, bits: int = BITS, orders: tuple[int, ...] = ORDERS,
     kind = "lang string, n long, counts array<long>"
     sums = labelled.mapInArrow(count, kind).groupBy("lang").applyInArrow(total, kind)
     most = MAX_MATRIX_BYTES // (8 << bits)
-    rows = sorted(sums.limit(most + 1).collect(), key=lambda r: r["lang"])  # a row for each language
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        rows = sorted(sums.limit(most + 1).collect(), key=lambda r: r["lang"])  # a row for each language
     if len(rows) > most:
         raise ValueError(f"more than {most} languages: the matrix would exceed {MAX_MATRIX_BYTES} bytes")
     if not rows:
@@ -198,7 +198,9 @@ def _in_slices(texts, run) -> list:
             part, held = [], 0
         part.append(t)
         held += len(t or "")
-    return out + (run(part) if part else [])
+    out += run(part) if part else []
+    trim()
+    return out
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -219,7 +221,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
 
 
 def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs whose text the model knows."""
+    """The rows of docs whose text the model knows. Texts that it does not know are found first, in small batches, and left out by
+    their SHA-256."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -228,4 +231,8 @@ def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return pd.Series(_in_slices(texts, held.value.knows_all), dtype=bool)
 
-    return docs.where(knows(F.col(text)))
+    h, name = F.sha2(F.col(text), 256), free_name(docs, "unknown")
+    rows = docs.where(F.col(text).isNotNull())
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        unknown = staged(rows.where(~knows(F.col(text))).select(h.alias(name)).distinct(), "unknown-texts")
+    return rows.join(unknown, h == F.col(name), "left_anti")

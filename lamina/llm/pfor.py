@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, new_folder, require, slices, staged
+from .common import TEXT_ROWS, arrow_rows, kept_by_worker, new_folder, require, slices, staged
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -44,8 +44,8 @@ PERCENTILE = 0.9
 SHARD_TOKENS = 1 << 18
 #: Bytes of words and their ids that a worker keeps, about; characters of text that it encodes at a time.
 CACHE_BYTES, SLICE = 64 << 20, 2 << 20
-#: Rows of an Arrow batch of texts, and of shards.
-TEXT_ROWS, SHARD_ROWS = 1024, 8
+#: Rows of an Arrow batch of shards.
+SHARD_ROWS = 8
 
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, part_start long, payload binary"
 
@@ -398,14 +398,9 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """One encoder for each worker process, kept until another file or operator is used."""
+    return kept_by_worker(f"pfor {path}", lambda: WordEncoder(path))
 
 
 def shards_of(rows: Iterable[tuple[int | None, bytes]], part: int, shard_tokens: int = SHARD_TOKENS, block: int = BLOCK, percentile: float = PERCENTILE) -> Iterator[tuple]:

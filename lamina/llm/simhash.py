@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, staged
+from .common import TEXT_ROWS, arrow_rows, kept_by_worker, require, staged, trim
 from .components import components
 
 BITS = 64
@@ -307,7 +307,9 @@ def similar_links(nodes: DataFrame, proposed: DataFrame, texts: DataFrame, place
     def sets_of(texts):
         import pandas as pd
 
-        return pd.Series([shingle_set(t, k).tobytes() for t in texts])
+        found = pd.Series([shingle_set(t, k).tobytes() for t in texts])
+        trim()
+        return found
 
     @F.pandas_udf("boolean")
     def alike(a, b):
@@ -328,9 +330,10 @@ def similar_links(nodes: DataFrame, proposed: DataFrame, texts: DataFrame, place
     large = met.where("key is not null").select("key", F.col("a").alias("node"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     held = texts.join(places.join(wanted, "node"), ["k1", "k2", "k3"]).select("node", sets_of("text").alias("set"))
-    sets = staged(held.groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")  # a row each, but for repeated rows
-    a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    linked = pairs.join(a, "a").join(b, "b").where(alike("set_a", "set_b")).select("a", "b")
+    with arrow_rows(nodes.sparkSession, TEXT_ROWS):
+        sets = staged(held.groupBy("node").agg(F.first("set").alias("set")), "shingle-sets")  # a row each, but for repeated rows
+        a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+        linked = staged(pairs.join(a, "a").join(b, "b").where(alike("set_a", "set_b")).select("a", "b"), "similar-links")
     n = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(max_run / 2)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
@@ -356,6 +359,7 @@ def without_copies(docs: DataFrame, *, k: int = 5, distance: int = 4, segments:
     def made(texts):
         import pandas as pd
 
+        kept_by_worker("simhash")
         fps, nodes, bands = [], [], []
         for t in texts:
             pieces = list(hashes(t, k))
@@ -363,10 +367,12 @@ def without_copies(docs: DataFrame, *, k: int = 5, distance: int = 4, segments:
             h = np.unique(np.concatenate([np.zeros(0, "<u8"), *pieces]))
             nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
             bands.append(signature(h).view("<i8") if len(h) else np.zeros(0, "<i8"))
+        trim()
         return pd.DataFrame({"fp": np.array(fps, "<u8").view("<i8"), "node": np.array(nodes, "<u8").view("<i8"), "bands": bands})
 
     d, th = F.col("doc_id").cast("long"), F.coalesce(F.xxhash64("text"), F.lit(0))
-    own = staged(docs.select(d.alias("d"), th.alias("th"), made("text").alias("m")).select("d", "th", "m.*"), "simhash")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        own = staged(docs.select(d.alias("d"), th.alias("th"), made("text").alias("m")).select("d", "th", "m.*"), "simhash")
     first = F.struct(F.col("d").isNull().alias("none"), "d", "th")
     distinct = staged(own.groupBy("node").agg(F.min_by(F.struct(first.alias("first"), "fp", "bands"), first).alias("x")).select("node", "x.*"), "simhash-distinct")
     fps = staged(distinct.groupBy("fp").agg(F.min("node").alias("chief")), "simhash-fingerprints")

@@ -1,7 +1,10 @@
+import types
+import weakref
+
 import duckdb
 
 import corpus_pipeline
-from lamina.llm import decontam, langid
+from lamina.llm import common, decontam, langid, pfor
 from lamina.llm import queries as q
 from lamina.llm.common import staged
 
@@ -56,3 +59,26 @@ def test_language_stage_rejects_what_no_language_explains(spark, small, docs_of)
 def test_language_stage_without_labels(spark, small, docs_of):
     docs = docs_of([(0, "The cat sleeps", None), (1, "Le chat dort", None), (2, "123", None)])
     assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, small).collect()} == {0, 1}
+
+
+def test_worker_keeps_one_operator_at_a_time():
+    kept = weakref.ref(pfor.encoder(q.tokenizer_path()))
+    assert pfor.encoder(q.tokenizer_path()) is kept()
+    decontam.parse("some words here")
+    assert kept() is None
+    words = weakref.ref(common.kept_by_worker("decontam", decontam.Words))
+    assert words().known
+    list(langid.n_grams(["text"]))
+    assert words() is None
+
+
+def test_language_stage_passes_texts_in_small_batches(spark, docs_of, monkeypatch):
+    class Few:
+        def knows_all(self, texts):
+            assert len(texts) <= 1024
+            return [t != "odd" for t in texts]
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda _, x: types.SimpleNamespace(value=x))  # plain pickle bears no local class
+    docs = docs_of([(i, "odd" if i % 7 == 0 else f"text {i}") for i in range(3072)] + [(-1, None)]).coalesce(1)
+    rows = langid.known(docs, Few()).collect()
+    assert sorted(r["doc_id"] for r in rows) == [i for i in range(3072) if i % 7]
