@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -498,6 +499,39 @@ def test_edited_quotation_and_items_of_one_id(spark, docs_of):
         assert sorted(r["doc_id"] for r in got.collect()) == [0, 3]
 
 
+def test_words_are_not_taken_apart_one_by_one(monkeypatch):
+    """Of a text's words only those with other than ASCII characters and those in slots of a found item are."""
+    item = "the old miller counted 7 sacks of grain before the long winter came over the quiet valley again"
+    index = decontam.Index([(1, item)], decontam.WINDOW, decontam.MIN_PLAIN, decontam.LEAST_WINDOWS)
+    taken, of = [], decontam.Words.of
+    monkeypatch.setattr(decontam.Words, "of", lambda self, raw: taken.append(raw) or of(self, raw))
+    text = " ".join(f"Word{i} some été" for i in range(500))
+    assert index.matches(text, 0.8) == [] and set(taken) == {"été"} and len(taken) == 1
+    assert [x[0] for x in index.matches(f"{text} {item.replace('7', '8')}.", 0.8)] == [1] and set(taken) == {"été", "8"}
+
+
+def test_texts_parsed_together():
+    """As parsed one by one: other scripts, white space that parts no words, sentences, lines, units, nulls."""
+    odd = "one Two THREE four. 5 6, 7m km km. Jahr años Ärger «mot» İstanbul ΣΟΦΟΣ ... ! ?\" — “Hi.” (x) 'tis x² ٣ a\x1fb a\x85B \xa0C a\u2028d Ǆ ß 2! Minute <num> Ünder end?) end.» end.\"' Ｘ １ \0 -- ) .)".split(" ")
+    rng = random.Random(7)
+    texts = [None, "", " \n\n ", "..."] + ["".join(rng.choice(odd) + rng.choice([*"        ", "\n", " \n\t", "\r\n", "\x0b", "\x0c "]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    index = decontam.Index([(i, t) for i, t in enumerate(texts[-90:])], decontam.WINDOW, decontam.MIN_PLAIN, decontam.LEAST_WINDOWS)
+    parsed = index.parse_all(pa.array([None, *texts], pa.string()).slice(1))
+    for d, text in enumerate(texts):
+        plain, own, template, slot = decontam.parse(text)
+        a, b = parsed.begin[d : d + 2]
+        assert [parsed.plain(d, k) for k in range(b - a)] == plain
+        assert [index.place.get(p, -1) for p in plain] == parsed.own[a:b].tolist()
+        known = parsed.template[a:b] >= 0
+        assert known.tolist() == [s or p in index.place for s, p in zip(slot, plain, strict=True)]
+        assert (index.word_hash[parsed.template[a:b][known]] == template[known]).all() and (index.word_hash[parsed.own[a:b]][parsed.own[a:b] >= 0] == own[parsed.own[a:b] >= 0]).all()
+    together = dict(index.matches_all(pa.array(texts), 0.3))
+    assert together == {d: x for d, t in enumerate(texts) if (x := index.matches(t, 0.3))} and len(together) >= 80
+    halves = ["the old miller counted", "every single sack of"]  # a window lies in one text
+    index = decontam.Index([(1, " ".join(halves))], decontam.WINDOW, decontam.MIN_PLAIN, 0.1)
+    assert not list(index.matches_all(pa.array(halves), 0.01)) and index.matches(" ".join(halves), 0.01)
+
+
 def brute_leaks(docs, items):
     """All pairs, windows as tuples of words."""
 
